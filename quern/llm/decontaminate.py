@@ -185,19 +185,23 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
+def _hit(spark: SparkSession, index: WindowIndex):
+    shared = spark.sparkContext.broadcast(index)
+
+    @F.arrow_udf("boolean")
+    def hit(text: pa.Array) -> pa.Array:
+        found = np.zeros(len(text), bool)
+        found[[m[0] for m in shared.value.search(text.to_pylist())]] = True
+        return pa.array(found)
+
+    return hit
+
+
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that meet any item; nothing is shuffled."""
     bounded_arrow(docs.sparkSession)
     for index in blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        @F.arrow_udf("boolean")
-        def hit(text: pa.Array, shared=shared) -> pa.Array:
-            found = np.zeros(len(text), bool)
-            found[[m[0] for m in shared.value.search(text.to_pylist())]] = True
-            return pa.array(found)
-
-        docs = docs.where(~hit(F.col("text")))
+        docs = docs.where(~_hit(docs.sparkSession, index)(F.col("text")))
     return docs
 
 

@@ -49,12 +49,21 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = 17) -> DataFrame:
     return placed.select("doc_id", "source", "size", "text_crc32", "shard", (F.col("place") - first).alias("slot"))
 
 
+def sharded(docs: DataFrame, shards: int = 8, seed: int = 17) -> DataFrame:
+    """docs with shard and slot (columns of these names are replaced). Rows that repeat id and text share out their places."""
+    places = materialize(shard(docs, shards, seed).select("doc_id", "text_crc32", "shard", "slot"), "places")
+    names = [c for c in docs.columns if c not in ("shard", "slot")]
+    keys = {"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__none": F.col("doc_id").isNull()}
+    copy = F.row_number().over(Window.partitionBy("__id", "__none", "__crc").orderBy(F.lit(0)))
+    left = docs.select(*names).withColumns(keys | {"__crc": F.crc32(F.coalesce(F.col("text"), F.lit("")))}).withColumn("__copy", copy)
+    right = places.withColumns(keys | {"__crc": F.col("text_crc32")}).withColumn("__copy", F.row_number().over(Window.partitionBy("__id", "__none", "__crc").orderBy("shard", "slot")))
+    return left.join(right.select("__id", "__none", "__crc", "__copy", "shard", "slot"), ["__id", "__none", "__crc", "__copy"]).select(*names, "shard", "slot")
+
+
 def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 17) -> None:
-    """Write docs as folders shard=0.., each ordered by slot."""
-    keys = docs.withColumns({"text_crc32": F.crc32(F.coalesce(F.col("text"), F.lit("")))})
-    placed = shard(docs, shards, seed).select("doc_id", "text_crc32", "shard", "slot").dropDuplicates(["doc_id", "text_crc32"])
-    out = keys.join(placed, ["doc_id", "text_crc32"]).drop("text_crc32")
-    out.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write docs as folders shard=0.., in ranges of slots."""
+    out = sharded(docs, shards, seed)
+    out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
