@@ -9,9 +9,8 @@ without words (or null) link with nothing. Documents link when 100 * intersectio
    Components of these candidate edges hold every pair that shares a band.
 3. Each component of bounded size is settled in one task with all its texts: exact similarities from one member out,
    others only where the triangle inequality of 1 - J and the likelihood of the registers leave a link possible.
-4. A component beyond that bound is compared with one pivot, in blocks over many tasks. What links to the pivot is
-   settled; the rest, with the settled ones that could still bridge to it, goes back to step 2. Each round settles at
-   least the pivots, so this ends, and no candidate is dropped.
+4. A component beyond that bound is compared with one pivot, in blocks over many tasks. What links to the pivot is one
+   component; the rest meets every block once more, in chunks, by the same rules. No candidate is dropped.
 5. Components of the confirmed links give every document the smallest doc_id that it reaches.
 
 Rows that repeat an id are taken as one document through that id. A row with a null id joins the group of an equal set
@@ -35,8 +34,8 @@ SHINGLE = 5
 LINK = (100, 75)
 #: A component of more documents or bytes is dealt over several tasks.
 TASK_DOCS, TASK_BYTES = 2_000, 32 << 20
-#: Documents that one task compares with a pivot.
-BLOCK_DOCS = 256
+#: Documents of a large component that one task holds at a time, on either side.
+BLOCK_DOCS = 1_000
 
 SIGNATURE = "doc_id long, n_bytes long, n_shingles long, f1 long, f2 long, bands array<long>, regs binary"
 
@@ -133,6 +132,41 @@ def _against_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([group.column("comp").combine_chunks().take(pa.array(others)), pa.array(np.full(k, ids[own][0])), pa.array(ids[others]), pa.array(_linked(inter, len(one), n)), pa.array(far)], names=["comp", "pivot", "id", "linked", "far"])
 
 
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of documents that the pivot has left over (side 0) with a block of the component's members (side 1)."""
+    from quern.llm import setsketch, textops
+
+    least = LINK[1] / LINK[0]
+    for group in textops.by_key(batches, ["comp", "chunk", "block"]):
+        side = group.column("side").to_numpy(zero_copy_only=False)
+        ids, far = group.column("id").to_numpy(), group.column("far").to_numpy()
+        linked = group.column("linked").to_numpy(zero_copy_only=False).astype(bool)
+        sets = list(textops.shingles(*textops.words(*textops.buffers(group.column("text"))), SHINGLE))
+        regs = np.frombuffer(b"".join(group.column("regs").to_pylist()), np.uint16).reshape(-1, setsketch.REGISTERS)
+        n = np.array([len(x) for x in sets])
+        # Members that link to the pivot are one component, the others start alone.
+        root = {int(i): (-1 if k else int(i)) for i, k in zip(ids, linked, strict=True)}
+
+        def find(i, root=root):
+            while i in root and root[i] != i:
+                i = root[i]
+            return i
+
+        links, others = [], np.flatnonzero(side == 1)
+        for u in np.flatnonzero(side == 0).tolist():
+            near = others[(np.abs(far[others] - far[u]) <= 1 - least + 1e-9) & (np.minimum(n[others], n[u]) * LINK[0] >= LINK[1] * np.maximum(n[others], n[u])) & (ids[others] != ids[u])]
+            if len(near):
+                near = near[setsketch.may_reach(regs[u], n[u], regs[near], n[near], least)]
+            while len(near := np.array([i for i in near if find(int(ids[i])) != find(int(ids[u]))], int)):
+                now, near = near[:64], near[64:]
+                for i in now[_linked(_common(sets[u], [sets[j] for j in now]), n[u], n[now])].tolist():
+                    a, b = find(int(ids[u])), find(int(ids[i]))
+                    if a != b:
+                        links.append((ids[u], ids[i]))
+                        root[max(a, b)] = min(a, b)
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
+
+
 def _candidates(reps: DataFrame) -> DataFrame:
     """Star edges (id, lead) between nodes that share a band."""
     rows = reps.select("id", F.explode("bands").alias("key"))
@@ -140,46 +174,49 @@ def _candidates(reps: DataFrame) -> DataFrame:
     return join_split(rows, groups, ["key"], "n").where("id <> lead").select("id", "lead")
 
 
-def near_links(docs: DataFrame, reps: DataFrame) -> DataFrame | None:
+def _dealt(size: str, key: str, seed: int):
+    """A row's block among the blocks of its component, and how many those are."""
+    blocks = F.ceil(F.col(size) / BLOCK_DOCS).cast("int")
+    return F.pmod(F.xxhash64(F.lit(seed), key), blocks).cast("int"), blocks
+
+
+def near_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """Confirmed links (a, b) that join all that are joined. docs: id, text of the nodes; reps: id, n_bytes, bands, regs."""
     parts = max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found: list[DataFrame] = []
-    active = reps
-    bridges: DataFrame | None = None
-    while True:
-        comps = materialize(components(_candidates(active), "id", "lead"), "comps")
-        sized = comps.join(active.select("id", "n_bytes"), "id").groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n_bytes").alias("bytes"))
-        sized = materialize(sized, "sizes")
-        big = (F.col("size") > TASK_DOCS) | (F.col("bytes") > TASK_BYTES)
-        n_big = sized.where(big & (F.col("size") > 2)).count()
-        rows = comps.withColumnRenamed("component", "comp")
-        if n_big:
-            large = materialize(join_split(rows, sized.where(big & (F.col("size") > 2)).select(F.col("component").alias("comp"), "size"), ["comp"], "size"), "large")
-            rows = rows.join(large.select("id"), "id", "left_anti")
-        nodes = rows.join(active.select("id", "regs"), "id").join(docs, "id")
-        nodes = nodes.repartition(parts, "comp").sortWithinPartitions("comp", "id").select("comp", "id", "regs", "text")
-        found.append(materialize(nodes.mapInArrow(_settle_groups, "a long, b long"), "links"))
-        if not n_big:
-            break
-        pivots = large.groupBy("comp").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("p"), F.first("size").alias("size")).select("comp", F.col("p.id").alias("pivot"), F.ceil(F.col("size") / BLOCK_DOCS).cast("int").alias("blocks"))
-        pivots = materialize(pivots, "pivots")
-        members = large.select("comp", "id", "size").withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.ceil(F.col("size") / BLOCK_DOCS).cast("int")).cast("int")).withColumn("is_pivot", F.lit(False))
-        members = members.join(pivots.select(F.col("pivot").alias("id")), "id", "left_anti").select("comp", "block", "id", "is_pivot")
-        own = pivots.select("comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("pivot").alias("id"), F.lit(True).alias("is_pivot"))
-        sides = members.unionByName(own).join(docs, "id").repartition(parts, "comp", "block").sortWithinPartitions("comp", "block").select("comp", "block", "id", "is_pivot", "text")
-        tried = materialize(sides.mapInArrow(_against_pivot, "comp long, pivot long, id long, linked boolean, far double"), "tried")
-        found.append(tried.where("linked").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
-        # A settled document can link to an unsettled one only if their distances to the pivot differ by 1/4 at most.
-        nearest = tried.where("not linked").groupBy("comp").agg(F.min("far").alias("nearest"), F.count(F.lit(1)).alias("n"))
-        bound = materialize(tried.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).join(nearest.drop("n"), "comp"), "nearest")
-        left = join_split(tried, bound, ["comp"], "n").where(f"not linked or far >= nearest - {1 - LINK[1] / LINK[0] + 1e-9}").select("id")
-        active = materialize(active.join(left, "id", "left_semi"), "active")
-        if not active.limit(1).count():
-            break
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out
+    comps = materialize(components(_candidates(reps), "id", "lead").withColumnRenamed("component", "comp"), "comps")
+    sized = comps.join(reps.select("id", "n_bytes"), "id").groupBy("comp").agg(F.count(F.lit(1)).alias("size"), F.sum("n_bytes").alias("bytes"))
+    big = materialize(sized.where(((F.col("size") > TASK_DOCS) | (F.col("bytes") > TASK_BYTES)) & (F.col("size") > 2)), "big")
+    any_big = big.limit(1).count() > 0
+    large = materialize(join_split(comps, big.select("comp", "size"), ["comp"], "size"), "large") if any_big else None
+    rows = comps.join(large.select("id"), "id", "left_anti") if any_big else comps
+    nodes = rows.join(reps.select("id", "regs"), "id").join(docs, "id")
+    nodes = nodes.repartition(parts, "comp").sortWithinPartitions("comp", "id").select("comp", "id", "regs", "text")
+    found = materialize(nodes.mapInArrow(_settle_groups, "a long, b long"), "links")
+    if not any_big:
+        return found
+    # One pivot for each large component, against blocks of its members.
+    block, blocks = _dealt("size", "id", 3)
+    pivots = large.groupBy("comp").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("p"), F.first("size").alias("size")).select("comp", F.col("p.id").alias("id"), "size")
+    pivots = materialize(pivots, "pivots")
+    members = materialize(large.join(pivots.select("id"), "id", "left_anti").withColumn("block", block), "members")
+    own = pivots.select("comp", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "id", F.lit(True).alias("is_pivot"))
+    sides = members.select("comp", "block", "id", F.lit(False).alias("is_pivot")).unionByName(own).join(docs, "id")
+    sides = sides.repartition(parts, "comp", "block").sortWithinPartitions("comp", "block").select("comp", "block", "id", "is_pivot", "text")
+    tried = materialize(sides.mapInArrow(_against_pivot, "comp long, pivot long, id long, linked boolean, far double"), "tried")
+    found = found.unionByName(tried.where("linked").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
+    # What it leaves over, in chunks, meets every block; only that part of a component is compared again.
+    over = tried.where("not linked").groupBy("comp").agg(F.count(F.lit(1)).alias("left"))
+    over = materialize(over, "over")
+    if not over.limit(1).count():
+        return found
+    chunk, chunks = _dealt("left", "id", 5)
+    left = tried.where("not linked").join(over, "comp").join(big.select("comp", "size"), "comp").withColumn("chunk", chunk)
+    left = left.select("comp", "chunk", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(0).alias("side"), "id", "far", "linked")
+    right = join_split(tried.join(members.select("id", "block", "size"), "id"), over.join(big.select("comp", F.col("size").alias("n")), "comp"), ["comp"], "n")
+    right = right.select("comp", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), "block", F.lit(1).alias("side"), "id", "far", "linked")
+    both = left.unionByName(right).join(reps.select("id", "regs"), "id").join(docs, "id")
+    both = both.repartition(parts, "comp", "chunk", "block").sortWithinPartitions("comp", "chunk", "block", "side")
+    return found.unionByName(materialize(both.select("comp", "chunk", "block", "side", "id", "far", "linked", "regs", "text").mapInArrow(_across, "a long, b long"), "across"))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
