@@ -6,6 +6,7 @@ Decoding images and audio to descriptors is left to a caller: a descriptor table
 from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,3 +47,8 @@ def contrast(distances: DataFrame, key: str, value: str = "distance") -> DataFra
     """(farthest - nearest) / nearest of each query."""
     ends = distances.groupBy(key).agg(F.max(value).alias("far"), F.min(value).alias("near"))
     return ends.select(key, ((F.col("far") - F.col("near")) / F.nullif(F.col("near"), F.lit(0.0))).alias("contrast"))
+
+
+def explained_variance(df: DataFrame, column: str, k: int) -> list[float]:
+    """Shares of the variance that the first k principal components carry."""
+    return PCA(k=k, inputCol="features", outputCol="out").fit(df.select(array_to_vector(column).alias("features"))).explainedVariance.toArray().tolist()

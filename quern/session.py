@@ -70,10 +70,16 @@ class Session:
         self.spark = self.db.spark if self.db else database
         self.native: dict[str, tuple[Table, DataFrame]] = {}
         self.parquet_dir = parquet_dir
+        self.vectors: dict[str, list[float]] = {}
         self.transaction = 0
         self.staged: dict[str, Table | None] = {}
 
     # --- tables
+    def register_vector(self, file: str, items: list[float]) -> Session:
+        """The vector that SIMILAR_TO('file') stands for; extraction from images or audio is the caller's."""
+        self.vectors[file] = [float(x) for x in items]
+        return self
+
     def attach(self, name: str, df: DataFrame, key: str | None = None, **indexes: tuple[str, str]) -> Session:
         """Query a DataFrame as a read-only table; indexes: name=(column, kind), for the rules that ask for one."""
         table = native_table(name, df, name)
@@ -166,6 +172,8 @@ class Session:
         for i, (name, alias) in enumerate(names):
             self.lock(name, "S")
             t = self.table(name)
+            if isinstance(s.similar_to, str) and s.similar_to in self.vectors:
+                s.similar_to = VectorValue(tuple(self.vectors[s.similar_to]))
             sides.append(Side(t, tuple(x.upper() for x in ((alias,) if alias and s.join else (name, alias)) if x), self.frame(t), f"__{i}_" if s.join else ""))
         return Lowering(s, sides, self.text_scores, self.ann_search)
 

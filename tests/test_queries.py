@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quern import queries
 from quern.functions import spatial, text, vector
 from quern.functions.numbers import fixed2, float_text
-from quern.operators import ann, apps
+from quern.operators import ann, apps, media
 from quern.operators.text_rank import TextIndex
 
 SF = "/root/testdata/sf0.001"
@@ -123,3 +123,9 @@ def test_text_index_is_kept_in_files(spark, tmp_path):
     assert again.n == 4 and again.average == built.average
     assert [r["id"] for r in again.search("cat", "BM25").collect()] == [1, 0]
     assert again.search("the of", "TF_IDF").count() == 0
+
+
+def test_explained_variance(spark):
+    df = spark.createDataFrame([([float(i), 2.0 * i, 0.01 * (-1) ** i],) for i in range(20)], "v array<double>")
+    first, second = media.explained_variance(df, "v", 2)
+    assert first > 0.99 and first + second == pytest.approx(1, abs=1e-3)
