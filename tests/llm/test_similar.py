@@ -146,14 +146,6 @@ def test_substring_dedup(table, planted, edges):
     assert substring_dedup.shared_passages(table([(1, None), (2, ""), (None, "a b c d e f")])).count() == 0
 
 
-def brute_chain(anchors):
-    best = {}
-    for i, (a, b) in enumerate(anchors):
-        options = [best[j] - substring_dedup.GAP_COST * (a - c + b - d - 2 * substring_dedup.K) for j, (c, d) in enumerate(anchors[:i]) if c < a and d < b]
-        best[i] = substring_dedup.K + max([0, *(min(o, best[j]) for o, (j, _) in zip(options, [(j, x) for j, x in enumerate(anchors[:i]) if x[0] < a and x[1] < b], strict=True))])
-    return best
-
-
 def test_chains_rise_on_both_sides():
     rng = random.Random(3)
     anchors = [(i * 3, 100 + i * 3) for i in range(20)] + [(rng.randrange(60), rng.randrange(300)) for _ in range(30)]
