@@ -154,6 +154,13 @@ def test_chains_rise_on_both_sides():
     assert substring_dedup.chains([(5, 5)]) == []
 
 
+def test_substring_dedup_two_passages_apart(table, prose):
+    one, two = prose(60, 510), prose(60, 511)
+    rows = [(i, f"{prose(50, 520 + i)} {one} {prose(80, 530 + i)} {two} {prose(50, 540 + i)}") for i in range(2)]
+    got = sorted((r["first_word"], r["last_word"]) for r in substring_dedup.shared_passages(table(rows)).collect())
+    assert len(got) == 2 and all(abs(x - y) <= 3 for r, want in zip(got, [(50, 110), (190, 250)], strict=True) for x, y in zip(r, want, strict=True))
+
+
 def test_winnowing_keeps_a_seed_in_every_window():
     rng = np.random.default_rng(1)
     runs, at = rng.integers(0, 2**63, 500, np.uint64), np.array([0, 3, 3, 200, 500])
