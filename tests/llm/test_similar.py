@@ -161,6 +161,19 @@ def test_substring_dedup_two_passages_apart(table, prose):
     assert len(got) == 2 and all(abs(x - y) <= 3 for r, want in zip(got, [(50, 110), (190, 250)], strict=True) for x, y in zip(r, want, strict=True))
 
 
+def test_substring_dedup_finds_edited_passages(table, prose):
+    rows, want, rng = [], set(), random.Random(6)
+    for i in range(80):
+        words = prose(60, 2000 + i).split()
+        hit = {j for j in range(60) if rng.random() < (0.1, 0.15, 0.18, 0.2)[i % 4]}
+        edited = [f"new{i}x{j}" if j in hit else x for j, x in enumerate(words)]
+        if len(hit) <= 12:  # a share of 0.8 or more
+            want.add(2 * i)
+        rows += [(2 * i + k, f"{prose(70, 3000 + 2 * i + k)} {' '.join(w)} {prose(70, 4000 + 2 * i + k)}") for k, w in ((0, words), (1, edited))]
+    got = {min(r["doc_id"], r["partner_id"]) for r in substring_dedup.shared_passages(table(rows)).collect()}
+    assert len(want & got) >= 0.97 * len(want)
+
+
 def test_winnowing_keeps_a_seed_in_every_window():
     rng = np.random.default_rng(1)
     runs, at = rng.integers(0, 2**63, 500, np.uint64), np.array([0, 3, 3, 200, 500])
