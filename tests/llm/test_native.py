@@ -101,6 +101,27 @@ def test_mix(table, edges, prose):
     assert mixing.mix(table([])).count() == 0 and mixing.mixed(table([])).count() == 0
 
 
+@pytest.mark.parametrize("each", [5_000, 9])
+def test_mix_fills_sources_with_long_documents(table, edges, prose, each, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", each)
+    rows = edges + [(100 + i, prose(5 + i % 40, i), "en", f"s{i % 3}") for i in range(300)]
+    rows += [(1000 + i, "word " * (6000 if i % 40 == 7 else 50), "en", "long") for i in range(120)]
+    # In seeded order, long documents stand between the others and in front of them.
+    for weights in ({"long": 2, "s0": 3, "s1": 3, "s2": 1, None: 1, "": 1}, {"long": 3, "s0": 1, "s1": 1, "s2": 1, None: 1, "": 1}, None):
+        taken, left, target = Counter(), defaultdict(list), {}
+        got = mixing.mix(table(rows), weights).collect()
+        passes = {s: min(r["taken"] // r["size"] for r in got if r["member"][0] == s and r["size"]) for s in ("long", "s0", "s1", "s2")}
+        for r in got:
+            s = r["member"][0]
+            taken[s] += r["taken"]
+            target[s] = r["target"]
+            if s in passes and r["size"] and r["taken"] == passes[s] * r["size"] < 3 * r["size"]:
+                left[s].append(r["size"])
+        for s in passes:
+            gap = round(target[s]) - taken[s]
+            assert gap >= 0 and all(n > gap for n in left[s]), (s, weights, gap, sorted(left[s])[:3])
+
+
 @pytest.mark.parametrize("each", [20_000, 7])
 def test_sharding(table, edges, prose, each, monkeypatch):
     monkeypatch.setattr(sharding, "RANGE_ROWS", each)
