@@ -1,8 +1,8 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
 Texts are compared in a normal form: A-Z lower-cased, runs of blanks as one space, UTF-8 bytes. An item is searched as
-windows of WINDOW bytes, half overlapping (a shorter item is one window), each with an edit budget of RATE of its
-length. By the q-gram lemma a passage within e edits of a window of m bytes shares at least m - q + 1 - q e of its
+windows of WINDOW and of BRIEF bytes that start every STEP bytes (a shorter item is one window), each with an edit budget
+of RATE of its length, so that an excerpt of BRIEF + STEP bytes is found whatever its offset. By the q-gram lemma a passage within e edits of a window of m bytes shares at least m - q + 1 - q e of its
 q-grams, on diagonals at most e apart. So shared q-grams are counted in overlapping diagonal bands, bands under the
 bound are dropped, and what is left is verified by a banded alignment with free ends. Items of fewer than SHORT bytes
 count only where they are the whole document. Null or empty documents and items match nothing. Repeated rows match
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from quern.llm.common import bounded_arrow
 
 Q, WINDOW, RATE, SHORT = 8, 100, 0.06, 24
+#: Windows start every STEP bytes; those of BRIEF bytes find excerpts too short for one of WINDOW.
+STEP, BRIEF = 10, 60
 BAND = 16
 BLOCK_BYTES = 1 << 20
 PIECE = 1 << 19
@@ -54,8 +56,9 @@ class WindowIndex:
             if len(b) < SHORT:
                 self.short.setdefault(b, []).append(item)
                 continue
-            at = sorted({*range(0, max(1, len(b) - WINDOW), WINDOW // 2), max(0, len(b) - WINDOW)})
-            self.windows += [(item, i, b[i : i + WINDOW]) for i in at]
+            for size in (WINDOW, BRIEF):
+                at = sorted({*range(0, max(1, len(b) - size), STEP), max(0, len(b) - size)}) if size == WINDOW or len(b) > size else ()
+                self.windows += [(item, i, b[i : i + size]) for i in at]
         g = [grams(np.frombuffer(w, np.uint8)) for _, _, w in self.windows]
         codes = np.concatenate(g) if g else np.zeros(0, np.uint64)
         order = np.argsort(codes, kind="stable")
@@ -88,7 +91,12 @@ class WindowIndex:
         hit = np.repeat(self.first[k] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         band = (np.repeat(at, n) - self.place[hit] + WINDOW) // BAND  # never negative
         key = (self.window[hit] << 32) | band
-        key, count = np.unique(np.concatenate([key, key - 1]), return_counts=True)
+        key, n = np.unique(key, return_counts=True)
+        # A band has two halves: each half with the next one, and the one before where that had no hit.
+        next_to = np.diff(key) == 1
+        both = n + np.append(np.where(next_to, n[1:], 0), 0)[: len(n)]
+        lone = np.insert(~next_to, 0, True)[: len(n)]
+        key, count = np.append(key, key[lone] - 1), np.append(both, n[lone])
         w, b = key >> 32, key & 0xFFFFFFFF
         keep = count >= self.least[w]
         return w[keep], b[keep] * BAND - WINDOW

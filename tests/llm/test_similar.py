@@ -213,6 +213,16 @@ def test_decontamination(spark, table, prose, edges):
     assert decontaminate.matches(table([]), bench).count() == 0 and decontaminate.matches(table(docs), bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_excerpts_at_any_offset(prose):
+    item = prose(60, 350)[:233].strip().ljust(233, "x")
+    index = decontaminate.WindowIndex([(0, prose(40, 351)), (1, item)])
+    for size in (118, 75):
+        excerpts = [item[i : i + size].strip() for i in range(233 - size + 1)]
+        texts = [f"{prose(30, 5000 + i)} {x} {prose(30, 5500 + i)}" for i, x in enumerate(excerpts)]
+        assert {(x[0], x[1]) for x in index.search(texts)} == {(i, 1) for i in range(len(texts))}
+    assert not index.search([prose(200, 6000 + i) for i in range(50)])
+
+
 def test_decontamination_in_blocks_and_parts(spark, table, prose, monkeypatch):
     items = [(i, prose(40, 300 + i)) for i in range(5)]
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 300)
