@@ -96,10 +96,17 @@ def fold(text: Column) -> Column:
 
 
 def tokens(text: Column, stopwords: bool = True) -> Column:
-    """Lower-case words of ASCII letters, in order, without stopwords. Words are cut before they are lowered."""
-    words = F.transform(F.regexp_extract_all(fold(text), F.lit("([A-Za-z]+)"), F.lit(1)), lambda w: F.lower(w))
-    stop = F.array(*(F.lit(w) for w in STOPWORDS))
-    return F.filter(words, lambda w: ~F.array_contains(stop, w)) if stopwords else words
+    """Lower-case words of ASCII letters, in order, without stopwords.
+
+    Only A-Z are lowered, so no other letter can turn into an ASCII one and cut or join words; a text that is all ASCII
+    needs no table of letters.
+    """
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    other = F.translate(F.replace(text, F.lit("ß"), F.lit("ss")), ACCENTED + upper, PLAIN + upper.lower())
+    plain = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(other)
+    words = F.regexp_extract_all(plain, F.lit("([a-z]+)"), F.lit(1))
+    # A list of literals this long becomes a hash set.
+    return F.filter(words, lambda w: ~w.isin(*STOPWORDS)) if stopwords else words
 
 
 def query_tokens(text: str) -> list[str]:
@@ -107,6 +114,15 @@ def query_tokens(text: str) -> list[str]:
     return [w for w in (x.lower() for x in re.findall("[A-Za-z]+", folded)) if w not in STOPWORDS]
 
 
+#: A stem differs from its word behind this many of its own letters, counted from its end, at most.
+STEM_CHANGES = 2
+
+
+def stem_prefix(s: str) -> str:
+    """What every word with the stem s begins with: rules change or drop letters at a word's end only."""
+    return s[: max(1, len(s) - STEM_CHANGES)]
+
+
 def stem_column(word: Column) -> Column:
     """Stems of a column of distinct tokens."""
 

@@ -43,10 +43,9 @@ def zscored(frames: DataFrame, key: str, value: str) -> DataFrame:
     return frames.join(stats, key).withColumn("z", (F.col(value) - F.col("__m")) / (F.col("__s") + 1e-6)).drop("__m", "__s")
 
 
-def contrast(distances: DataFrame, key: str, value: str = "distance") -> DataFrame:
-    """(farthest - nearest) / nearest of each query."""
-    ends = distances.groupBy(key).agg(F.max(value).alias("far"), F.min(value).alias("near"))
-    return ends.select(key, ((F.col("far") - F.col("near")) / F.nullif(F.col("near"), F.lit(0.0))).alias("contrast"))
+def contrast(ends: DataFrame) -> DataFrame:
+    """(queries, contrast): the median over the queries of (farthest - nearest) / nearest. ends: query, near, far."""
+    return ends.agg(F.count(F.lit(1)).alias("queries"), F.median((F.col("far") - F.col("near")) / F.col("near")).alias("contrast"))
 
 
 def explained_variance(df: DataFrame, column: str, k: int) -> list[float]:

@@ -5,11 +5,14 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import text as tx
+from quern.sources.work import fresh_path, materialize
 
 # BM25's parameters.
 K1, B = 1.2, 0.75
@@ -27,30 +30,31 @@ class TextIndex:
 
     @staticmethod
     def build(df: DataFrame, key: str, column: str, stemmed: bool = True, folder: str | None = None) -> TextIndex:
-        """Count tokens by document, stem distinct tokens only, sum by stem. With a folder, the index is written there."""
-        toks = df.select(F.col(key).alias("id"), tx.tokens(F.col(column)).alias("ts"))
-        counts = toks.select("id", F.explode("ts").alias("token")).groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"))
+        """One pass over the texts: rows are dealt by key, so tokens are counted, and lengths and norms summed, where they
+        are made; only distinct tokens are stemmed. The index is written to folder, or to the work folder without one."""
+        spark, where = df.sparkSession, folder or fresh_path(df.sparkSession, "text-index")
+        rows = df.select(F.col(key).alias("id"), F.col(column).alias("text")).repartition("id")
+        counts = rows.select("id", F.explode(tx.tokens(F.col("text"))).alias("token")).groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"))
         if stemmed:
+            counts = materialize(counts, "counts")
             stems = counts.select("token").distinct().withColumn("term", tx.stem_column(F.col("token")))
             counts = counts.join(stems, "token").groupBy("id", "term").agg(F.sum("tf").alias("tf"))
         postings = counts.select(F.col("term" if stemmed else "token").alias("term"), "id", "tf")
-        if folder:
-            postings.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{folder}/postings")
-            postings = df.sparkSession.read.parquet(f"{folder}/postings")
+        if folder:  # an index that stays is laid out by term, so that a query reads its terms alone
+            postings = postings.repartitionByRange("term").sortWithinPartitions("term", "id")
+        postings.write.mode("overwrite").parquet(f"{where}/postings")
+        postings = spark.read.parquet(f"{where}/postings")
         weight = 1 + F.log10(F.col("tf"))
-        sums = postings.groupBy("id").agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
-        docs = toks.select("id", F.size("ts").cast("long").alias("length")).join(sums, "id", "left").na.fill(0.0, ["norm"])
-        if folder:
-            docs.write.mode("overwrite").parquet(f"{folder}/docs")
-            docs = df.sparkSession.read.parquet(f"{folder}/docs")
-        n, total = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
-        return TextIndex(postings, docs, n, total / n if n else 0.0, stemmed)
+        sums = postings.groupBy("id").agg(F.sum("tf").alias("length"), F.sqrt(F.sum(weight * weight)).alias("norm"))
+        docs = df.select(F.col(key).alias("id")).join(sums, "id", "left").na.fill({"length": 0, "norm": 0.0})
+        docs.write.mode("overwrite").parquet(f"{where}/docs")
+        return TextIndex.load(spark, where, stemmed)
 
     @staticmethod
-    def load(spark, folder: str) -> TextIndex:
+    def load(spark, folder: str, stemmed: bool = True) -> TextIndex:
         postings, docs = spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/docs")
         n, total = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
-        return TextIndex(postings, docs, n, total / n if n else 0.0)
+        return TextIndex(postings, docs, n, total / n if n else 0.0, stemmed)
 
     def scores(self, query: str, scheme: str = "BM25") -> DataFrame:
         """(id, score) of documents with a positive score; any query term is enough."""
@@ -78,21 +82,35 @@ class TextIndex:
 
 
 def bm25(df: DataFrame, key: str, column: str, query: str) -> DataFrame:
-    """(id, score) by BM25 in one pass over the table, without an index.
+    """(id, score) by BM25 without an index: one tokenising pass, and no join.
 
-    Lengths do not depend on stems, so only the query's stems are looked for: a document's tokens are reduced to counts of
-    those before anything is shuffled, and the stem of each distinct token is taken once.
+    A word begins like its stem, so a document keeps its length and those tokens alone that begin like a stem of the
+    query; that small table is written once. Its distinct tokens are stemmed, and what remains are the surface forms of
+    the query's stems: the suffix rules bound how many there can be. Scores are then one expression on each row.
     """
+    spark = df.sparkSession
     wanted = sorted({tx.stem(w) for w in tx.query_tokens(query)})
+    if not wanted:
+        return df.select(F.col(key).alias("id"), F.lit(0.0).alias("score")).limit(0)
+    begins = sorted({tx.stem_prefix(w) for w in wanted})
+    # Catalyst does not copy the tokeniser into both uses of its array.
     toks = df.select(F.col(key).alias("id"), tx.tokens(F.col(column)).alias("ts"))
-    vocabulary = toks.select(F.explode("ts").alias("token")).distinct().withColumn("term", tx.stem_column(F.col("token"))).where(F.col("term").isin(*wanted))
-    n, total = toks.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("ts")), F.lit(0))).first()
-    counts = toks.select("id", F.size("ts").alias("length"), F.explode("ts").alias("token")).groupBy("id", "length", "token").agg(F.count(F.lit(1)).alias("tf"))
-    hits = counts.join(vocabulary, "token").groupBy("id", "length", "term").agg(F.sum("tf").alias("tf"))
-    dfs = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / (total / n if total else 1.0)))
-    return hits.join(F.broadcast(dfs), "term").groupBy("id").agg(F.sum(part).alias("score")).where("score > 0")
+    near = F.filter("ts", lambda t: reduce(or_, (t.startswith(p) for p in begins)))
+    base = materialize(toks.select("id", F.size("ts").alias("length"), near.alias("near")), "lengths")
+    n, total = base.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    tokens = base.select(F.explode("near").alias("token")).distinct().withColumn("term", tx.stem_column(F.col("token")))
+    forms: dict[str, list[str]] = {}
+    for r in tokens.where(F.col("term").isin(*wanted)).collect():
+        forms.setdefault(r["term"], []).append(r["token"])
+    terms = [t for t in wanted if t in forms]
+    if not terms:
+        return base.select("id", F.lit(0.0).alias("score")).limit(0)
+    count = lambda words: F.size(F.filter("near", lambda x: x.isin(*words)))
+    hits = base.where(F.size("near") > 0).select("id", "length", *(count(forms[t]).alias(f"tf{i}") for i, t in enumerate(terms)))
+    dfs = hits.agg(*(F.sum((F.col(f"tf{i}") > 0).cast("long")) for i in range(len(terms)))).first()
+    short = K1 * (1 - B + B * F.col("length") / (total / n if total else 1.0))
+    parts = [math.log((n - d + 0.5) / (d + 0.5) + 1) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + short) for i, d in enumerate(dfs)]
+    return hits.select("id", sum(parts[1:], parts[0]).alias("score")).where("score > 0")
 
 
 def precision_recall(ranked: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:

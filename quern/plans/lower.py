@@ -16,6 +16,8 @@ from quern.plans.parser import ColumnDef, Condition, Item, PointValue, Statement
 from quern.sources.catalog import Table
 
 SCORE, DIST = "__score", "__distance"
+#: The k best (id, score) of a MATCH are broadcast up to this k.
+MOST_BROADCAST = 100_000
 
 
 @dataclass
@@ -144,6 +146,8 @@ class Lowering:
         if s.match:
             column, _ = self.find(s.match[0])
             scores = self.text_scores(one.table, column.name, s.match[1], s.ranking)
+            if s.limit is not None and not s.where and self.by_score():  # the k best are chosen before the table is joined
+                scores = F.broadcast(scores.orderBy(F.desc("score"), "id").limit(s.limit)) if s.limit <= MOST_BROADCAST else scores.orderBy(F.desc("score"), "id").limit(s.limit)
             df = df.join(scores.select(F.col("id").alias("__id"), F.col("score").alias(SCORE)), F.col(one.table.key.name) == F.col("__id")).drop("__id")
             return self.filtered(df, s.where)
         if s.similar:
@@ -166,6 +170,14 @@ class Lowering:
             return self.filtered(nearest(found.select(*df.columns)), s.where).withColumn(SCORE, score)
         return self.filtered(df, s.where)
 
+    def by_score(self) -> bool:
+        """Whether rows come by falling score and are not aggregated."""
+        s = self.s
+        if s.group_by or any(i.aggregate for i in s.items) or s.order_centre is not None:
+            return False
+        own = not s.order_by or any(i.score and i.label.upper() == s.order_by.upper() for i in s.items) or s.order_by.upper() == "SCORE"
+        return own and (s.descending or not s.order_by)
+
     def joined(self) -> DataFrame:
         s, (a, b) = self.s, self.sides
         if a.names[-1] == b.names[-1]:

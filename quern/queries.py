@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import spatial, vector
 from quern.operators import ann, apps, media
-from quern.operators.knn import batch_nearest
+from quern.operators.knn import batch_nearest, distance_range
 from quern.operators.text_rank import TextIndex, precision_recall
 from quern.functions.text import ACCENTED, PLAIN, STOPWORDS
 from quern.session import Session
@@ -229,12 +229,14 @@ def segment_vote(spark, sf):
     return apps.segment_votes(matches, "label", threshold=0.1).select("label", "segments", F.round("best", 5).alias("best"))
 
 
-@query("dimension_contrast", f"SELECT query, round((max(d) - min(d)) / min(d), 3) AS contrast FROM ({PAIRS.replace('1 - list', '2 - list')}) GROUP BY 1")
+@query(
+    "dimension_contrast",
+    "WITH d AS (SELECT q.vec_id AS query, list_distance(q.embedding::DOUBLE[], r.embedding::DOUBLE[]) AS d FROM embeddings q JOIN embeddings r ON q.vec_id % 50 = 0), c AS (SELECT query, (max(d) - min(d)) / min(d) AS c FROM d WHERE d > 1e-9 GROUP BY 1) SELECT count(*) AS queries, round(median(c), 4) AS contrast FROM c",
+)
 def dimension_contrast(spark, sf):
     v = table(spark, sf, "embeddings")
-    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("e"))
-    d = v.join(F.broadcast(q), F.col("vec_id") != F.col("query")).select("query", (1 + vector.distance(F.col("embedding"), F.col("e"), "COSENO")).alias("distance"))
-    return media.contrast(d, "query").select("query", F.round("contrast", 3).alias("contrast"))
+    ends = distance_range(v, v.where("vec_id % 50 = 0"), "embedding", "vec_id", "vec_id")
+    return media.contrast(ends).select("queries", F.round("contrast", 4).alias("contrast"))
 
 
 # --- text
