@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.sources.work import fresh_path, materialize, shared_dir
+
+__all__ = ["fresh_path", "materialize", "shared_dir"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word, as every contract here has it: a run of anything but the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,31 +18,6 @@ HOT_KEYS = 500
 #: Keys with fewer rows than this are never hot.
 HOT_FLOOR = 1_000
 
-_own: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a local session without one gets its own temporary folder."""
-    if d := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None):
-        return d.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="quern-"))
-    return f"file://{_own[0]}"
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quern/{uuid.uuid4().hex}/{name}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage is cut, and a lost executor costs one task."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else. lower() does the same for pure ASCII and is much faster there."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -73,13 +49,58 @@ def hash_bucket(h: Column, bits: int) -> Column:
     return F.shiftrightunsigned(h, 64 - bits).cast("int") if bits else F.lit(0)
 
 
+def below(counts: DataFrame, own: list[str], at: str, n: str) -> DataFrame:
+    """counts with `below`: the sum of n before each `at` (a whole number from 0) within `own`.
+
+    In two levels, so that no window holds more than the square root of what one over all would.
+    """
+    high = counts.groupBy(*own, F.shiftright(at, 10).alias("__high")).agg(F.sum(n).alias("__n"))
+    high = high.select(*own, "__high", (F.sum("__n").over(Window.partitionBy(*own).orderBy("__high")) - F.col("__n")).alias("__base"))
+    low = counts.withColumn("__high", F.shiftright(at, 10)).join(high, [*own, "__high"])
+    own_window = Window.partitionBy(*own, "__high").orderBy(at)
+    return low.withColumn("below", F.col("__base") + F.sum(n).over(own_window) - F.col(n)).drop("__high", "__base")
+
+
 def unsigned_order(h: Column) -> Column:
     """Sorts as the unsigned value of a 64-bit hash."""
     return h.bitwiseXOR(F.lit(-(2**63)).cast("long"))
 
 
-def bounded_arrow(spark: SparkSession, rows: int = 512) -> None:
-    """Python workers get so many rows at a time at most."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
+#: Bytes that a Python worker gets at a time; a single longer text is a batch by itself.
+ARROW_BYTES = 2 << 20
+
+
+def bounded_arrow(spark: SparkSession) -> None:
+    """Python workers get a bounded number of bytes at a time, whatever the texts; rows are bounded by Spark's own setting."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+def units(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(id, doc_id, text, n): rows that repeat doc_id and text are one row that stands for n; and whether any do not stand alone.
+
+    A null text counts as empty. id is the doc_id where it occurs once, else (repeated ids, null ids) a hash of doc_id and
+    text, so that no two texts share one. If all ids are there and differ (one narrow aggregate tells), nothing is shuffled.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    counts = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null")
+    if not counts.limit(1).count():
+        return rows.select(F.col("doc_id").alias("id"), "doc_id", "text", F.lit(1).cast("long").alias("n")), False
+    again = materialize(counts.where("doc_id is not null"), "repeated")
+    own = rows.where("doc_id is not null").join(again, "doc_id", "left_anti").select(F.col("doc_id").alias("id"), "doc_id", "text", F.lit(1).cast("long").alias("n"))
+    rest = rows.where("doc_id is null").unionByName(join_split(rows, again, ["doc_id"], "n").select("doc_id", "text"))
+    # Equal rows are counted in each task before they meet; their text is the same.
+    hashes = [F.xxhash64(F.lit(i), "text").alias(f"h{i}") for i in (1, 2)]
+    rest = rest.groupBy("doc_id", *hashes).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))
+    rest = materialize(rest.select(F.xxhash64(F.col("doc_id").isNull(), "doc_id", "h1", "h2").alias("id"), "doc_id", "text", "n"), "units")
+    return own.unionByName(rest), True
+
+
+#: Copies of one row that a task writes out.
+COPIES = 10_000
+
+
+def repeated(rows: DataFrame, n: str) -> DataFrame:
+    """Each row n times, without the column n; the copies of one row are made in many tasks."""
+    many = rows.where(F.col(n) > 1).withColumn(n, F.explode(F.expr(f"transform(sequence(0L, ({n} - 1) div {COPIES}), i -> least({COPIES}L, {n} - i * {COPIES}))")))
+    many = many.repartition(n, F.monotonically_increasing_id()).withColumn(n, F.explode(F.array_repeat(F.lit(1).cast("long"), F.col(n).cast("int"))))
+    return rows.where(F.col(n) == 1).unionByName(many).drop(n)

@@ -96,6 +96,23 @@ def test_near_dedup_edges(table, edges):
     assert near_dedup.near_dedup(table([])).count() == 0
 
 
+def test_near_dedup_of_repeated_rows(table, prose):
+    """Rows that repeat id and text, ids with several texts, and null ids, thousands of each."""
+    one, two, near = prose(60, 41), prose(60, 42), prose(60, 41) + " and more"
+    rows = [(7, one)] * 5000 + [(None, two)] * 1000 + [(9, near), (11, two + " end"), (13, prose(50, 43)), (13, one.upper()), (13, ""), (15, prose(50, 43))]
+    rows += [(None, "")] * 20 + [(None, None)] * 3 + [(None, prose(20, 44))] * 4 + [(17, " ")] * 6
+    docs = table(rows)
+    got = near_dedup.near_dedup(docs).groupBy("doc_id", "n_shingles", "component_id", "kept").count().collect()
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]): r["count"] for r in got}
+    assert got == {
+        (7, 56, 7, True): 5000, (None, 56, 11, False): 1000, (9, 58, 7, False): 1, (11, 57, 11, True): 1, (13, 46, 7, False): 1, (13, 56, 7, False): 1,
+        (13, 0, 7, False): 1, (15, 46, 7, False): 1, (None, 0, None, True): 23, (None, 16, None, True): 4, (17, 0, 17, True): 6,
+    }
+    kept = near_dedup.near_deduped(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(7, one), (11, two + " end"), (17, " "), (None, prose(20, 44))] + [(None, "")] * 20 + [(None, None)] * 3, key=repr)
+
+
 def test_settle_is_exact():
     rng = np.random.default_rng(8)
     hub = rng.integers(0, 2**63, 400, np.uint64)
@@ -148,10 +165,47 @@ def test_substring_dedup(table, planted, edges):
 
 def test_chains_rise_on_both_sides():
     rng = random.Random(3)
-    anchors = [(i * 3, 100 + i * 3) for i in range(20)] + [(rng.randrange(60), rng.randrange(300)) for _ in range(30)]
+    anchors = sorted({(i * 6, 100 + i * 6, 4) for i in range(20)} | {(rng.randrange(120), rng.randrange(300), 4) for _ in range(30)})
     out = substring_dedup.chains(anchors)
-    assert len(out[0]) >= 18 and all(c[i][0] < c[i + 1][0] and c[i][1] < c[i + 1][1] for c in out for i in range(len(c) - 1))
-    assert substring_dedup.chains([(5, 5)]) == []
+    best = [anchors[i] for i in out[0]]
+    assert len(best) >= 18 and sorted(i for c in out for i in c) == list(range(len(anchors)))
+    assert all(x[0] < y[0] and x[1] < y[1] for c in out for x, y in zip([anchors[i] for i in c], [anchors[i] for i in c[1:]], strict=False))
+
+
+def test_seeds_that_touch_are_one_block():
+    pos = np.array([10, 12, 16, 40, 50, 12])
+    d, e, p, q, n, seeds = substring_dedup.blocks_of(np.zeros(6, int), np.zeros(6, int), pos, np.array([110, 112, 116, 140, 151, 112]))
+    assert list(zip(p, q, n, seeds, strict=True)) == [(10, 110, 10, 4), (40, 140, 4, 1), (50, 151, 4, 1)]
+
+
+def test_anchors_of_seeds_over_batches():
+    rows = [(1, 5, 7), (2, 6, 1), (3, 6, 9), (4, 6, 12), (5, 8, 1), (6, 9, 3), (7, 9, 4)]
+    for cuts in range(1 << 6):
+        batches, at = [], 0
+        for i in range(1, 8):
+            if i == 7 or cuts >> (i - 1) & 1:
+                batches.append(pa.RecordBatch.from_arrays([pa.array([r[k] << 16 * (k == 1) for r in rows[at:i]], pa.int64()) for k in range(3)], names=["doc_id", "seed", "pos"]))
+                at = i
+        got = sorted(tuple(r.values()) for b in substring_dedup._meet(iter(batches)) for r in b.to_pylist())
+        assert got == [(2, 2, 1, 1), (3, 2, 9, 1), (4, 2, 12, 1), (6, 6, 3, 3), (7, 6, 4, 3)]
+
+
+def test_substring_dedup_of_pieces_that_short_documents_hold(table, prose):
+    """Two long documents share a passage whose pieces are short documents of their own."""
+    passage = prose(80, 560).split()
+    rows = [(i, f"{prose(120, 570 + i)} {' '.join(passage)} {prose(120, 580 + i)}") for i in range(2)]
+    rows += [(10, " ".join(passage[:40])), (11, " ".join(passage[40:])), (12, " ".join(passage[30:50]))]
+    got = {(min(r["doc_id"], r["partner_id"]), max(r["doc_id"], r["partner_id"])): (r["first_word"], r["last_word"]) for r in substring_dedup.shared_passages(table(rows)).collect()}
+    assert (0, 1) in got and abs(got[0, 1][0] - 120) <= 3 and abs(got[0, 1][1] - 200) <= 3
+
+
+def test_substring_dedup_with_repeated_rows(table, prose):
+    passage = prose(60, 590)
+    rows = [(1, f"{prose(50, 591)} {passage}")] * 700 + [(2, f"{passage} {prose(50, 592)}")] + [(3, f"{passage} {prose(20, 593)}"), (3, f"{prose(30, 594)} {passage}")]
+    rows += [(None, f"{passage} {prose(10, 595)}")] * 50
+    got = substring_dedup.shared_passages(table(rows)).collect()
+    pairs = {frozenset((r["doc_id"], r["partner_id"])) for r in got}
+    assert len(got) <= 6 and set().union(*pairs) == {1, 2, 3} and all(len(x) == 2 for x in pairs)
 
 
 def test_substring_dedup_two_passages_apart(table, prose):
