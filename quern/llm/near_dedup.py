@@ -13,8 +13,9 @@ without words (or null) link with nothing. Documents link when 100 * intersectio
    component; the rest meets every block once more, in chunks, by the same rules. No candidate is dropped.
 5. Components of the confirmed links give every document the smallest doc_id that it reaches.
 
-Rows that repeat an id are taken as one document through that id. A row with a null id joins the group of an equal set
-and is otherwise alone (component_id null). An empty table gives an empty result.
+Rows that repeat an id are one document through that id, whatever their texts: each has its own set, and what one links
+with, all do. Rows that repeat id and text cost one row. A row with a null id joins the group of its links; a group of
+null ids alone has component_id null, and its rows count as kept. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import bounded_arrow, join_split, materialize
+from quern.llm.common import bounded_arrow, join_split, materialize, repeated, units
 from quern.llm.components import components
 
 SHINGLE = 5
@@ -37,15 +38,15 @@ TASK_DOCS, TASK_BYTES = 2_000, 32 << 20
 #: Documents of a large component that one task holds at a time, on either side.
 BLOCK_DOCS = 1_000
 
-SIGNATURE = "doc_id long, n_bytes long, n_shingles long, f1 long, f2 long, bands array<long>, regs binary"
+SIGNATURE = "id long, doc_id long, n long, n_bytes long, n_shingles long, f1 long, f2 long, bands array<long>, regs binary"
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from quern.llm import setsketch, textops
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64())), ("regs", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("n_bytes", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64())), ("regs", pa.binary())])
     for batch in batches:
-        data, at = textops.buffers(batch.column(1))
+        data, at = textops.buffers(batch.column(3))
         h, words_at = textops.words(data, at)
         sets = list(textops.shingles(h, words_at, SHINGLE))
         n = np.array([len(s) for s in sets], np.int64)
@@ -58,7 +59,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             r = setsketch.sketch(x, starts)
             for i, b, g in zip(full.tolist(), setsketch.bands(r), r, strict=True):
                 bands[i], regs[i] = b, g.tobytes()
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(np.diff(at)), pa.array(n), pa.array(f1), pa.array(f2), pa.array(bands, pa.list_(pa.int64())), pa.array(regs, pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(at)), pa.array(n), pa.array(f1), pa.array(f2), pa.array(bands, pa.list_(pa.int64())), pa.array(regs, pa.binary())], schema=schema)
 
 
 def _linked(inter: np.ndarray, n_a, n_b) -> np.ndarray:
@@ -219,24 +220,65 @@ def near_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     return found.unionByName(materialize(both.select("comp", "chunk", "block", "side", "id", "far", "linked", "regs", "text").mapInArrow(_across, "a long, b long"), "across"))
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs."""
+def grouped(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(id, doc_id, n, n_shingles, node, component_id) of the units of docs (see common.units), and whether any stand for
+    several rows. Units of one node are one group; units without words have none."""
     spark = docs.sparkSession
     bounded_arrow(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sig = materialize(texts.mapInArrow(_signatures, SIGNATURE), "signatures")
-    groups = materialize(sig.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")), "sets")
-    keys = groups.select(F.col("rep").alias("doc_id"), "f1", "f2")
-    reps = materialize(sig.join(keys, ["doc_id", "f1", "f2"], "left_semi").select(F.col("doc_id").alias("id"), "n_bytes", "bands", "regs"), "reps")
-    links = near_links(texts.where("doc_id is not null").withColumnRenamed("doc_id", "id"), reps)
+    rows, odd = units(docs)
+    sig = materialize(rows.select("id", "doc_id", "n", "text").mapInArrow(_signatures, SIGNATURE), "signatures")
+    some = sig.where("n_shingles > 0")
+    groups = materialize(some.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("size")), "sets")
+    reps = materialize(sig.join(groups.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n_bytes", "bands", "regs"), "reps")
+    links = near_links(rows.select("id", "text"), reps)
+    owned = some.select("id", "doc_id", "n", "n_shingles", "f1", "f2")
+    if odd:  # units with one doc_id are one document
+        sets = materialize(join_split(owned, groups, ["f1", "f2"], "size").select("doc_id", "rep").where("doc_id is not null").distinct(), "units_sets")
+        first = sets.groupBy("doc_id").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1")
+        links = links.unionByName(join_split(sets, materialize(first, "first"), ["doc_id"], "size").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")))
     labels = components(links, "a", "b")
-    named = groups.join(labels, groups["rep"] == labels["id"], "left").select("f1", "f2", "size", F.coalesce("component", "rep").alias("component_id"))
-    full = join_split(sig.where("n_shingles > 0").select("doc_id", "n_shingles", "f1", "f2"), materialize(named, "named"), ["f1", "f2"], "size")
-    none = sig.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = full.select("doc_id", "n_shingles", "component_id").unionByName(none)
+    named = groups.join(labels, groups["rep"] == labels["id"], "left").select("f1", "f2", "size", "low", F.coalesce("component", "rep").alias("node"))
+    if odd:  # a node is the least id of its units, not of its documents
+        lows = materialize(named.groupBy("node").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("sets")), "lows")
+        named = join_split(materialize(named, "named"), lows, ["node"], "sets").select("f1", "f2", "size", "node", "component_id")
+    else:
+        named = named.select("f1", "f2", "size", "node", F.col("node").alias("component_id"))
+    full = join_split(owned, materialize(named, "sets"), ["f1", "f2"], "size").select("id", "doc_id", "n", "n_shingles", "node", "component_id")
+    none = sig.where("n_shingles = 0").select("id", "doc_id", "n", "n_shingles", F.lit(None).cast("long").alias("node"), F.col("doc_id").alias("component_id"))
+    if odd:  # a row without words goes with the other rows of its id
+        also = full.where("id <> doc_id").groupBy("doc_id").agg(F.min("component_id").alias("other"), F.min("node").alias("at"))
+        none = none.join(also, "doc_id", "left").select("id", "doc_id", "n", "n_shingles", F.coalesce("node", "at").alias("node"), F.coalesce("other", "component_id").alias("component_id"))
+    return full.unionByName(none), odd
+
+
+def near_dedup(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of docs."""
+    out, odd = grouped(docs)
+    out = (repeated(out, "n") if odd else out).select("doc_id", "n_shingles", "component_id")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def near_deduped(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group; rows with a null id and no words are groups by themselves."""
+    out, odd = grouped(docs)
+    if not odd:
+        return docs.join(out.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")), F.col("doc_id") == F.col("__kept"), "left_semi")
+    # The survivor of a group: its least document, of several texts of that id the one with words and the least hash.
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", F.col("n_shingles") == 0, "id")
+    own = F.coalesce("node", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.col("id")))
+    kept = out.groupBy(own.alias("group"), F.col("node").isNull().alias("alone")).agg(F.min_by(F.struct("id", "doc_id", "n_shingles"), rank).alias("k")).select("k.*")
+    kept = materialize(kept, "kept")
+    plain = docs.join(kept.where("id = doc_id").select(F.col("doc_id").alias("__kept")), F.col("doc_id") == F.col("__kept"), "left_semi")
+    # Rows that share id and text with others, and null ids: one row of each unit that is kept, all of empty null ids.
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    number = F.col("doc_id").cast("long")
+    unit = F.xxhash64(number.isNull(), number, F.xxhash64(F.lit(1), text), F.xxhash64(F.lit(2), text))
+    some = docs.withColumn("__unit", unit).join(kept.where("not id <=> doc_id").select(F.col("id").alias("__unit"), F.col("n_shingles").alias("__n")), "__unit")
+    empty = some.where("doc_id is null and __n = 0").select(*docs.columns)
+    once = some.where("not (doc_id is null and __n = 0)").groupBy("__unit").agg(F.first(F.struct(*docs.columns)).alias("r")).select("r.*")
+    return plain.unionByName(empty).unionByName(once.select(*docs.columns))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id", "kept")
 
