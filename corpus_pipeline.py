@@ -24,9 +24,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies. Rows with a null id stay if any such row stays."""
-    kept = near_dedup.near_dedup(docs).where("kept").select(F.col("doc_id").alias("__kept"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    """One document of each group of near copies: the one with the least id, and one row of it if rows repeat.
+
+    Rows without words stay (one for each id, all with a null id); an empty table stays empty.
+    """
+    return near_dedup.near_deduped(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
