@@ -1,6 +1,7 @@
 """Exact dedup, line dedup, mixing and sharding against plain Python."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -65,20 +66,88 @@ def words(t):
     return len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
 
 
-def test_targets():
-    got = mixing.targets_for({"a": 10, "b": 1000, None: 500}, {"a": 1, "b": 2, None: 3})
-    assert got["a"] == 30 and got["b"] == pytest.approx(1480 * 2 / 5) and got[None] == pytest.approx(1480 * 3 / 5)
-    assert mixing.targets_for({"a": 0}, {"a": 1}) == {"a": 0.0}
+def test_targets(spark):
+    def got(sizes, weights):
+        df = spark.createDataFrame([(s, n, float(weights[s])) for s, n in sizes.items()], "source string, size long, weight double")
+        return {r["source"]: r["target"] for r in mixing.targets(df).collect()}
+
+    out = got({"a": 10, "b": 1000, None: 500}, {"a": 1, "b": 2, None: 3})
+    assert out["a"] == 30 and out["b"] == pytest.approx(1480 * 2 / 5) and out[None] == pytest.approx(1480 * 3 / 5)
+    assert got({"a": 0}, {"a": 1}) == {"a": 0.0}
+    assert got({"a": 5, "b": 0}, {"a": 1, "b": 9}) == {"a": 5.0, "b": 0.0}
+
+
+def flow_cost(passes, repeats=3):
+    return sum(k * k for k in range(1, passes + 1))
+
+
+def test_flow_is_the_cheapest(spark):
+    """Against all integer flows of small cases: unit words, so that passes are whole."""
+    rng = random.Random(11)
+    for _ in range(25):
+        names = ["a", "b", "c"][: rng.randint(2, 3)]
+        cells, capacity = {}, {}
+        for p in range(rng.randint(1, 3)):
+            own = [c for c in [(s,) for s in names] + [tuple(names[:2])] if rng.random() < 0.6] or [(names[0],)]
+            cells[p] = {c: 1 for c in own}
+            capacity[p] = 1
+        quota = {s: rng.randint(0, 4) for s in names}
+        flow = mixing.min_cost_flow(capacity, quota, cells)
+        arcs = [(p, c, s) for p in cells for c in cells[p] for s in c]
+        best = None
+
+        def all_flows(i, left, of_cell, of_pattern):
+            if i == len(arcs):
+                yield sum(of_pattern.values()), sum(flow_cost(n) for n in of_pattern.values())
+                return
+            p, c, s = arcs[i]
+            for x in range(min(left[s], 3 - of_cell.get((p, c), 0)) + 1):
+                yield from all_flows(i + 1, left | {s: left[s] - x}, of_cell | {(p, c): of_cell.get((p, c), 0) + x}, of_pattern | {p: of_pattern.get(p, 0) + x})
+
+        best = min(((-n, cost) for n, cost in all_flows(0, quota, {}, {})))
+        of_pattern = Counter()
+        for (p, _), v in flow.items():
+            of_pattern[p] += v
+        assert (-sum(flow.values()), sum(flow_cost(n) for n in of_pattern.values())) == best
+        assert all(v <= 3 * cells[p][c] for (p, c), v in flow.items())
+
+
+def test_mix_balances_texts_of_several_sources(table, prose):
+    """Texts that two sources share are repeated less than what a source has alone."""
+    rows = [(i, prose(20, i), "en", "a") for i in range(40)] + [(100 + i, prose(20, 500 + i), "en", "b") for i in range(40)]
+    rows += [(200 + i, prose(20, 900 + i // 4), "en", "ab"[i % 2]) for i in range(160)]
+    got = mixing.mix(table(rows), {"a": 1, "b": 1}).collect()
+    taken, shared = Counter(), Counter()
+    for r in got:
+        taken[r["member"][0]] += r["taken"]
+        shared[r["doc_id"] >= 200] += r["taken"]
+    # 80 texts stand once, 40 texts four times: with twice as many words as there are texts, each text goes twice.
+    assert taken == {"a": 2400, "b": 2400} and shared == {False: 3200, True: 1600}
 
 
-def test_flow_shares_overlapping_patterns():
-    capacity, quota = {("a",): 10, ("a", "b"): 20, ("b",): 5}, {"a": 20, "b": 25}
-    flow = mixing.min_cost_flow(capacity, quota, {p: list(p) for p in capacity})
-    assert sum(v for (_, s), v in flow.items() if s == "a") == 20 and sum(v for (_, s), v in flow.items() if s == "b") == 25
-    given = Counter()
-    for (p, _), v in flow.items():
-        given[p] += v
-    assert all(given[p] >= capacity[p] for p in capacity) and all(given[p] <= 3 * capacity[p] for p in capacity)
+def test_mix_of_many_sources_and_repeated_rows(table, prose, monkeypatch):
+    rows = [(i, prose(5 + i % 7, i), "en", f"s{i}") for i in range(2300)]
+    got = mixing.mix(table(rows)).collect()
+    assert len(got) == 2300 and all(0 <= r["taken"] <= 3 * r["size"] for r in got)
+    rows = [(7, prose(9, 1), "en", "a")] * 400 + [(None, prose(8, 2), "en", "b")] * 400 + [(900 + i, prose(5 + i % 30, 50 + i), "en", "abc"[i % 3]) for i in range(90)]
+    for cells in (mixing.MOST_BROADCAST, 1):
+        monkeypatch.setattr(mixing, "MOST_BROADCAST", cells)
+        for weights in ({"a": 1, "b": 2, "c": 1}, {"a": 2, "b": 1, "c": 2}, None):
+            got = mixing.mix(table(rows), weights).collect()
+            taken, target = Counter(), {}
+            for r in got:
+                taken[r["member"][0]] += r["taken"]
+                target[r["member"][0]] = r["target"]
+            assert all(abs(taken[s] - target[s]) <= 35 for s in "abc"), (weights, taken, target)
+            assert sorted(map(str, got)) == sorted(map(str, mixing.mix(table(rows), weights).collect()))
+
+
+def test_mix_of_rows_that_name_several_sources(spark, prose):
+    rows = [(i, prose(10, i), [["a"], ["b"], ["a", "b"], []][i % 4]) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tags array<string>")
+    got = mixing.mix(docs, {"a": 1, "b": 1, None: 1}, "tags").collect()
+    assert len(got) == 80 and all(0 <= r["taken"] <= 30 for r in got)
+    assert sum(r["taken"] for r in got) == pytest.approx(sum(r["target"] for r in {tuple(r["member"]): r for r in got if len(r["member"]) == 1}.values()), abs=30)
 
 
 def test_mix(table, edges, prose):
