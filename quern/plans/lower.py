@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,6 +57,14 @@ class Lowering:
 
     def __init__(self, s: Statement, sides: list[Side], text_scores: Callable | None = None, ann: Callable | None = None):
         self.s, self.sides, self.text_scores, self.ann = s, sides, text_scores, ann
+        self.shown: DataFrame | None = None
+        self.watched: dict[str, Observation] | None = None  # rows that pass each part of the plan, if they are asked for
+
+    def watch(self, part: str, df: DataFrame) -> DataFrame:
+        if self.watched is None:
+            return df
+        self.watched[part] = Observation()
+        return df.observe(self.watched[part], F.count(F.lit(1)).alias("n"))
 
     # --- names
     def find(self, name: str) -> tuple[ColumnDef, Column]:
@@ -141,15 +149,15 @@ class Lowering:
     def source(self) -> DataFrame:
         s, one = self.s, self.sides[0]
         if s.join:
-            return self.joined()
-        df = one.frame
+            return self.watch("join", self.joined())
+        df = self.watch("scan", one.frame)
         if s.match:
             column, _ = self.find(s.match[0])
             scores = self.text_scores(one.table, column.name, s.match[1], s.ranking)
             if s.limit is not None and not s.where and self.by_score():  # the k best are chosen before the table is joined
                 scores = F.broadcast(scores.orderBy(F.desc("score"), "id").limit(s.limit)) if s.limit <= MOST_BROADCAST else scores.orderBy(F.desc("score"), "id").limit(s.limit)
             df = df.join(scores.select(F.col("id").alias("__id"), F.col("score").alias(SCORE)), F.col(one.table.key.name) == F.col("__id")).drop("__id")
-            return self.filtered(df, s.where)
+            return self.watch("filter", self.filtered(self.watch("text", df), s.where))
         if s.similar:
             c = self.similar_column()
             if isinstance(s.similar_to, str):
@@ -168,7 +176,7 @@ class Lowering:
             found = df.where(F.col(one.table.key.name).isin(*s.candidates)) if s.candidates else df.limit(0) if s.candidates is not None else self.ann(one.table, index, q, s.similar_k)
             # The index chooses first; the conditions come after it and may leave fewer than k.
             return self.filtered(nearest(found.select(*df.columns)), s.where).withColumn(SCORE, score)
-        return self.filtered(df, s.where)
+        return self.watch("filter", self.filtered(df, s.where))
 
     def by_score(self) -> bool:
         """Whether rows come by falling score and are not aggregated."""
@@ -191,9 +199,9 @@ class Lowering:
         if (left.kind == "VARCHAR") != (right.kind == "VARCHAR"):
             raise QuernError("ON compares text with a number")
         frames = []
-        for side in self.sides:
-            own = side.frame.select(*(F.col(c.name).alias(side.prefix + c.name) for c in side.table.columns))
-            frames.append(self.filtered(own, [c for c in s.where if self.owner(c.column) is side]))
+        for k, side in enumerate(self.sides):
+            own = self.watch(f"scan{k}", side.frame).select(*(F.col(c.name).alias(side.prefix + c.name) for c in side.table.columns))
+            frames.append(self.watch(f"filter{k}", self.filtered(own, [c for c in s.where if self.owner(c.column) is side])))
         return frames[0].join(frames[1], lc == rc)
 
     # --- items
@@ -227,7 +235,7 @@ class Lowering:
         names = [f"__c{k}" for k in range(len(items))]
         shown = [(F.col(SCORE).cast("float") if i.score else self.find(i.column)[1]).alias(n) for i, n in zip(items, names, strict=True)]
         order = self.order(items)
-        ties = [] if s.join else [F.col(self.sides[0].table.key.name).asc()]
+        ties = [F.col(f"`{x.prefix}{x.table.key.name}`").asc() for x in self.sides]
         if s.match and not order:
             order = [F.desc(SCORE)]
         elif s.similar and not order:
@@ -278,7 +286,7 @@ class Lowering:
                     raise QuernError(f"{item.label} is neither grouped nor aggregated")
                 shown.append(F.col("__key").alias(n))
         groups = df.groupBy(key.alias("__key")) if key is not None else df.groupBy()
-        out = groups.agg(*aggregates) if aggregates else df.select(key.alias("__key")).distinct()
+        out = self.watch("group", groups.agg(*aggregates) if aggregates else df.select(key.alias("__key")).distinct())
         out = out.select(*shown, *(["__key"] if key is not None else []))
         if s.order_by:
             n = next((n for i, n in zip(items, names, strict=True) if i.label.upper() == s.order_by.upper()), None)
@@ -288,8 +296,12 @@ class Lowering:
                 raise QuernError(f"ORDER BY {s.order_by} is neither grouped nor aggregated")
             ties = [F.col("__key").cast("string")] if key is not None else []
             out = out.orderBy(F.col(n).desc() if s.descending else F.col(n).asc(), *ties)
-        elif key is not None:  # groups come in the order of their text
-            out = out.orderBy(F.col("__key").cast("string"))
+        elif key is not None:  # groups are shown in the order of their text; without LIMIT only what is shown is sorted
+            ordered = out.orderBy(F.col("__key").cast("string"))
+            if s.limit is None:
+                self.shown = self.labelled(ordered.drop("__key"), items)
+            else:
+                out = ordered
         if s.limit is not None:
             out = out.limit(s.limit)
         return self.labelled(out.drop("__key"), items)

@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 import re
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ from quern.plans.lower import Lowering, Side, native_table
 from quern.plans.parser import ColumnDef, PointValue, Statement, VectorValue, parse, split_statements
 from quern.sources import csv_files
 from quern.sources.catalog import Catalog, Index, Locks, Table
+from quern.sources.work import materialize
 
 #: Folders of a snapshot before it is written anew as one.
 MOST_FOLDERS = 16
@@ -36,6 +38,7 @@ class Result:
     plan: list[explain.Node] = field(default_factory=list)
     seconds: float = 0.0
     error: str = ""
+    shown: DataFrame | None = None  # df in the order in which it is shown, where that costs a sort
 
     @property
     def columns(self) -> list[str]:
@@ -46,13 +49,14 @@ class Result:
         if self.df is None:
             return []
         show = lambda v: v if isinstance(v, int) else ("" if v is None else float(text_of(v)) if isinstance(v, float) else text_of(v))
-        return [[show(v) for v in r] for r in self.df.toDF(*(f"c{i}" for i in range(len(self.df.columns)))).collect()]
+        df = self.df if self.shown is None else self.shown
+        return [[show(v) for v in r] for r in df.toDF(*(f"c{i}" for i in range(len(df.columns)))).collect()]
 
     def to_json(self) -> str:
         if self.error:
             return json.dumps({"ok": False, "error": self.error}, ensure_ascii=False)
         rows = self.rows()
-        plan = [{"nodo": n.name, "cond": n.detail, "nivel": n.level, "filas_estimadas": n.rows, "filas_reales": n.actual} for n in self.plan]
+        plan = [{"nodo": n.name, "cond": n.detail, "nivel": n.level, "filas_estimadas": n.rows, "filas_reales": n.actual, "costo": n.cost} for n in self.plan]
         return json.dumps({"ok": True, "tipo": self.kind, "mensaje": self.message, "afectadas": self.affected or len(rows), "tiempo_ms": round(self.seconds * 1000, 3), "columnas": self.columns, "filas": rows, "plan": plan}, ensure_ascii=False)
 
 
@@ -63,6 +67,12 @@ class Database:
         self.spark, self.catalog, self.locks = spark, Catalog(spark, root), Locks()
         self.built: dict[tuple, object] = {}  # index data by (table, index, version)
 
+    def vacuum(self, older_than: float = 3600.0) -> list[str]:
+        """Delete folders that no table's snapshot and no index uses and that are older than so many seconds."""
+        tables = self.catalog.tables.values()
+        used = {f for t in tables for f in t.folders} | {f for t in tables for i in t.indexes for f in i.data.get("folders", [])}
+        return self.catalog.vacuum(used, older_than)
+
 
 class Session:
     def __init__(self, database: Database | SparkSession, parquet_dir: str | None = None):
@@ -112,7 +122,15 @@ class Session:
         return self.spark.read.schema(t.schema).parquet(*t.folders)
 
     def rows_of(self, t: Table) -> int:
-        return self.frame(t).count()
+        return t.rows if t.rows >= 0 else self.frame(t).count()
+
+    def size_of(self, t: Table) -> tuple[int, int]:
+        """Rows and pages of 4 KiB as the catalog has them; of an attached table as its files' sizes and types suggest."""
+        if t.native or t.rows < 0:
+            plan = self.frame(t)._jdf
+            size = int(plan.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+            return max(1, size // plan.schema().defaultSize()), -(-size // 4096)
+        return t.rows, -(-sum(self.db.catalog.files.size(f) for f in t.folders) // 4096)
 
     def lock(self, name: str, mode: str) -> None:
         if self.db and name.upper() not in self.native:
@@ -145,6 +163,8 @@ class Session:
         began, s = time.time(), parse(sql)
         if self.transaction and s.kind in ("create_table", "create_from_file", "copy", "create_index", "drop_table"):
             raise QuernError("DDL and COPY are not allowed in a transaction")
+        if not self.db and s.kind in ("create_table", "create_from_file", "copy", "create_index", "drop_table", "insert", "delete"):
+            raise QuernError("this session reads Parquet tables only: open it on a Database to change one")
         self.single = self.db.locks.begin() if self.db and not self.transaction else 0
         try:
             result = getattr(self, f"do_{s.kind}")(s)
@@ -160,6 +180,7 @@ class Session:
     def publish(self, t: Table, gone: bool = False) -> None:
         """Make a changed table visible: at once, or at COMMIT."""
         t.version += 1
+        t.rows = t.rows if t.folders else 0
         if self.transaction:
             self.staged[t.name.upper()] = None if gone else t
         else:
@@ -178,7 +199,9 @@ class Session:
         return Lowering(s, sides, self.text_scores, self.ann_search)
 
     def do_select(self, s: Statement) -> Result:
-        return Result("select", self.lowering(s).select())
+        low = self.lowering(s)
+        df = low.select()
+        return Result("select", df, shown=low.shown)
 
     def text_scores(self, t: Table, column: str, query: str, scheme: str) -> DataFrame:
         index = t.index(column, "SPIMI")
@@ -186,26 +209,91 @@ class Session:
             raise QuernError(f"MATCH needs a SPIMI index on {t.name}.{column}")
         if t.native and scheme == "BM25":
             return bm25(self.frame(t), t.key.name, column, query)
-        return self.built(t, index, lambda folder: TextIndex.build(self.frame(t), t.key.name, column, folder=folder)).scores(query, scheme)
-
-    def built(self, t: Table, index: Index, make):
-        """An index's data for this snapshot of the table; a changed table gets a new one at its next use."""
         if not self.db:
-            return make(None)
+            return TextIndex.build(self.frame(t), t.key.name, column).scores(query, scheme)
+        return self.built(t, index).scores(query, scheme)
+
+    def built(self, t: Table, index: Index):
+        """An index's data for this snapshot of the table: as it was left, brought up to date, or built.
+
+        What is built is noted in the catalog, so another session loads it. A vector index takes over rows that have come
+        and masks those that have gone; it is built anew when their share passes `umbral`.
+        """
         at = (t.name.upper(), index.name.upper(), tuple(t.folders))
-        if at not in self.db.built:
-            for old in [k for k in self.db.built if k[:2] == at[:2]]:
-                del self.db.built[old]
-            self.db.built[at] = make(self.db.catalog.folder(f"{t.name}_{index.name}"))
+        if at in self.db.built:
+            return self.db.built[at]
+        data, folder = index.data, self.db.catalog.index_folder(t.name, index.name)
+        known = data.get("snapshot") if data else None
+        if known != t.folders:
+            data = (self.changed(t, index, folder) if known else None) or self.made(t, index, folder)
+            data["snapshot"] = list(t.folders)
+            self.db.catalog.note(t.name, index.name, data)
+        for old in [k for k in self.db.built if k[:2] == at[:2]]:
+            del self.db.built[old]
+        self.db.built[at] = self.opened(t, index, data)
         return self.db.built[at]
 
+    def made(self, t: Table, index: Index, folder: str) -> dict:
+        """Build an index; what the catalog notes of it."""
+        df, key, column, o = self.frame(t), t.key.name, t.column(index.column).name, index.options
+        if index.kind == "SPIMI":
+            TextIndex.build(df, key, column, folder=folder)
+            return {"folders": [folder]}
+        if index.kind == "IVF":
+            ann.Ivf.build(df, key, column, o["metrica"], int(o["nlist"]), folder)
+            return {"folders": [folder], "rows": self.rows_of(t), "gone": 0}
+        parts = ann.Hnsw.build(df, key, column, o["metrica"], int(o["M"]), int(o["ef_construccion"]), folder).parts
+        return {"folders": [folder], "rows": self.rows_of(t), "gone": 0, "parts": parts}
+
+    def opened(self, t: Table, index: Index, data: dict):
+        df, key, o = self.frame(t), t.key.name, index.options
+        if index.kind == "SPIMI":
+            return TextIndex.load(self.spark, data["folders"][0])
+        column = t.column(index.column).name
+        if index.kind == "IVF":
+            found = ann.Ivf.load(df, key, column, o["metrica"], data["folders"][0])
+            return found if data["gone"] else replace(found, current=None)
+        return ann.Hnsw.load(df, key, column, o["metrica"], data["folders"], data["parts"])
+
+    def changed(self, t: Table, index: Index, folder: str) -> dict | None:
+        """Bring a vector index up to date with the table; None if it is to be built anew."""
+        if index.kind == "SPIMI":  # lengths and norms of the whole collection change
+            return None
+        data, key, column = dict(index.data), t.key.name, t.column(index.column).name
+        row = lambda folders: self.spark.read.schema(t.schema).parquet(*folders).select(key, column) if folders else self.spark.createDataFrame([], t.schema).select(key, column)
+        try:
+            before, now = row([f for f in data["snapshot"] if f not in t.folders]), row([f for f in t.folders if f not in data["snapshot"]])
+            gone, came = materialize(before.join(now, [key, column], "left_anti").select(key), "gone"), materialize(now.join(before, [key, column], "left_anti").select(key), "came")
+        except AnalysisException:  # the old snapshot has been vacuumed
+            return None
+        n_gone, n_came, limit = gone.count(), came.count(), float(index.options.get("umbral", ann.HNSW_DEFAULTS["umbral"]))
+        data["gone"] += n_gone
+        # The lists of IVF know a key once: one that comes again means a rebuild. So does growth to more than twice the rows.
+        again = index.kind == "IVF" and not came.join(gone, key, "left_semi").isEmpty()
+        if again or (index.kind == "IVF" and data["gone"] > limit * data["rows"]) or self.rows_of(t) > 2 * max(1, data["rows"]):
+            return None
+        new = self.frame(t).join(came, key, "left_semi")
+        if index.kind == "IVF":
+            if n_came:
+                ann.Ivf.load(self.frame(t), key, column, index.options["metrica"], data["folders"][0]).insert(new, data["folders"][0])
+            return data
+        if n_gone or n_came:
+            self.opened(t, index, data).change(new, gone, folder, limit)
+            data["folders"] = [*data["folders"], folder]
+            if len(data["folders"]) > MOST_FOLDERS:
+                return None
+        return data
+
     def ann_search(self, t: Table, index: Index, q: list[float], k: int) -> DataFrame:
         if not t.native and t.name.upper() in self.staged:  # an index knows committed rows only
             t = self.db.catalog.get(t.name)
+            index = next(i for i in t.indexes if i.name == index.name)
         key, column, metric, o = t.key.name, t.column(index.column).name, index.options["metrica"], index.options
         if index.kind == "IVF":
-            return self.built(t, index, lambda folder: ann.Ivf.build(self.frame(t), key, column, metric, int(o["nlist"]), folder)).search(q, k, int(o["nprobe"]))
-        return self.built(t, index, lambda folder: ann.Hnsw.build(self.frame(t), key, column, metric, int(o["M"]), int(o["ef_construccion"]), folder)).search(q, k, int(o["ef_busqueda"]))
+            found = self.built(t, index) if self.db and not t.native else ann.Ivf.build(self.frame(t), key, column, metric, int(o["nlist"]))
+            return found.search(q, k, int(o["nprobe"]))
+        found = self.built(t, index) if self.db and not t.native else ann.Hnsw.build(self.frame(t), key, column, metric, int(o["M"]), int(o["ef_construccion"]))
+        return found.search(q, k, int(o["ef_busqueda"]))
 
     def do_explain(self, s: Statement) -> Result:
         inner = s.inner
@@ -215,18 +303,32 @@ class Session:
         nodes: list[explain.Node] = []
         lines: list[str] = []
         if inner.kind in ("select", "delete"):
-            tables = [self.table(x) for x in (inner.table, inner.join) if x]
             low = self.lowering(inner)
+            # The plan comes from the catalog alone: names and types are checked, no index is built, no data is read.
+            low.text_scores = lambda *_: self.spark.createDataFrame([], "id long, score double")
+            low.ann = lambda t, *_: self.frame(t).limit(0)
             low.select() if inner.kind == "select" else low.filtered(low.sides[0].frame, inner.where)
-            nodes = explain.plan(inner, tables, [self.rows_of(t) for t in tables])
+            tables = [x.table for x in low.sides]
+            sizes = [self.size_of(t) for t in tables]
+            nodes = explain.plan(inner, tables, [n for n, _ in sizes], [p for _, p in sizes])
         planning = time.time() - began
         done = None
         if s.analyze:
             began = time.time()
-            done = getattr(self, f"do_{inner.kind}")(inner)
-            actual = len(done.df.collect()) if inner.kind == "select" else done.affected
-            if nodes:
-                nodes[0].actual = actual
+            if inner.kind == "select":
+                low = self.lowering(inner)
+                low.watched = {}
+                done = Result("select", low.watch("root", low.select()))
+                done.df.write.format("noop").mode("overwrite").save()  # nothing comes to the driver but the counts
+                counts = {k: o.get["n"] for k, o in low.watched.items()}
+                for n in nodes:
+                    n.actual = counts.get(n.part, -1)
+                actual = nodes[0].actual = counts["root"]
+            else:
+                done = getattr(self, f"do_{inner.kind}")(inner)
+                actual = done.affected
+                if nodes:
+                    nodes[0].actual = actual
             lines = [f"Rows: {actual}"]
         text = [x for n in nodes for x in n.lines().split("\n")] + lines + [f"Planning Time: {planning * 1000:.3f} ms"]
         if s.analyze:
@@ -279,21 +381,25 @@ class Session:
         """Write a new folder of the snapshot; ordered tables are laid out by key, so that row groups can be skipped."""
         if len(t.folders) >= MOST_FOLDERS:
             df, t.folders = self.frame(t).unionByName(df), []
+        before = self.rows_of(t) if t.folders else 0
         if t.organization != "HEAP":
             df = df.repartitionByRange(F.col(t.key.name)).sortWithinPartitions(t.key.name)
         folder = self.db.catalog.folder(t.name)
         df.write.parquet(folder)
+        t.rows = before + self.spark.read.schema(t.schema).parquet(folder).count()
         t.folders = [*t.folders, folder]
 
     def load(self, t: Table, path: str, names: list[str], whole: bool) -> int:
         """Load a file into t. whole: all or nothing; else the lines before the first bad one stay."""
-        rows = csv_files.typed(csv_files.rows(self.spark, path, names), t.columns).persist()
+        lines = csv_files.check(csv_files.rows(self.spark, path, names))
+        rows = csv_files.typed(lines, t.columns).persist()
         try:
             if first := rows.where("__bad is not null").orderBy(csv_files.LINE).limit(1).collect():
                 raise QuernError(f"column {first[0]['__bad']} has a value that does not fit its type")
             key = t.key.name
             # The first line whose key is taken, by an earlier line or by a stored row.
-            again = rows.groupBy(key).agg(F.sort_array(F.collect_list(csv_files.LINE)).alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.min(F.get("l", 1))).first()[0]
+            first = rows.groupBy(key).agg(F.min(csv_files.LINE).alias("__first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(key, "__first")
+            again = rows.join(first, key).where(F.col(csv_files.LINE) > F.col("__first")).agg(F.min(csv_files.LINE)).first()[0]
             taken = rows.join(self.frame(t).select(key), key, "left_semi").agg(F.min(csv_files.LINE)).first()[0]
             bad = min((x for x in (again, taken) if x is not None), default=None)
             good = (rows if bad is None else rows.where(F.col(csv_files.LINE) < bad)).select(*(c.name for c in t.columns))
@@ -308,11 +414,14 @@ class Session:
             return n
         finally:
             rows.unpersist()
+            lines.unpersist()
 
     def do_create_from_file(self, s: Statement) -> Result:
         self.lock(s.table, "X")
         names = csv_files.identifiers(csv_files.header(self.spark, s.file))
-        columns = csv_files.inferred(csv_files.rows(self.spark, s.file, names), names)
+        lines = csv_files.check(csv_files.rows(self.spark, s.file, names))
+        columns = csv_files.inferred(lines, names)
+        lines.unpersist()
         t = self.new_table(s.table, columns, s.organization, s.key)
         n = self.load(t, s.file, [c.name for c in columns], True)
         for c in s.indexed:
@@ -324,8 +433,10 @@ class Session:
     def do_copy(self, s: Statement) -> Result:
         self.lock(s.table, "X")
         t = self.table(s.table)
-        names = csv_files.header(self.spark, s.file)
-        if [n.strip().upper() for n in names] != [c.name.upper() for c in t.columns]:
+        if t.native:
+            raise QuernError(f"table {t.name} is read-only")
+        names = csv_files.identifiers(csv_files.header(self.spark, s.file))
+        if [n.upper() for n in names] != [c.name.upper() for c in t.columns]:
             raise QuernError("the file's header does not match the table's columns")
         whole = not t.folders and not [i for i in t.indexes if i.kind not in ("IVF", "HNSW")]
         n = self.load(t, s.file, [c.name for c in t.columns], whole)
@@ -334,8 +445,9 @@ class Session:
     def do_drop_table(self, s: Statement) -> Result:
         self.lock(s.table, "X")
         t = self.table(s.table)
-        self.publish(t, gone=True)
-        self.db.catalog.files.delete(f"{self.db.catalog.root}/{t.name.lower()}")
+        if t.native:
+            raise QuernError(f"table {t.name} is read-only")
+        self.publish(t, gone=True)  # its files wait for Database.vacuum: a DataFrame may still read them
         return Result("drop_table", message=f"table {s.table} dropped")
 
     def create_index(self, t: Table, index: Index) -> None:

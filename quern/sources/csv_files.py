@@ -13,7 +13,7 @@ from quern.errors import QuernError
 from quern.plans.parser import ColumnDef
 
 INTEGER = r"^-?[0-9]{1,10}$"
-LINE = "__line"
+LINE, RAGGED = "__line", "__ragged"
 NUMBER = r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
 
 
@@ -41,10 +41,20 @@ def identifiers(names: list[str]) -> list[str]:
 
 
 def rows(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """All columns as text, and the line's rank in file order."""
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    lines = spark.read.csv(path, schema=schema, header=True, quote='"', escape='"', multiLine=False, mode="PERMISSIVE", emptyValue="", nullValue="\0", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    return lines.na.fill("").withColumn(LINE, F.monotonically_increasing_id())
+    """All columns as text, the line's rank in file order, and the line itself where its number of fields is another."""
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, RAGGED]])
+    lines = spark.read.csv(path, schema=schema, header=True, quote='"', escape='"', multiLine=False, mode="PERMISSIVE", columnNameOfCorruptRecord=RAGGED, emptyValue="", nullValue="\0", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return lines.na.fill("", names).withColumn(LINE, F.monotonically_increasing_id())
+
+
+def check(df: DataFrame) -> DataFrame:
+    """df, read once to see that there are lines and that all have the header's number of fields."""
+    df = df.persist()
+    first = df.agg(F.count(F.lit(1)).alias("n"), F.min_by(RAGGED, F.when(F.col(RAGGED).isNotNull(), F.col(LINE))).alias("line")).first()
+    if not first["n"] or first["line"] is not None:
+        df.unpersist()
+        raise QuernError("the file has no data rows" if not first["n"] else f"a line has another number of fields than the header: {first['line'][:80]}")
+    return df
 
 
 def is_integer(c: Column) -> Column:
@@ -96,7 +106,7 @@ def typed(df: DataFrame, columns: list[ColumnDef]) -> DataFrame:
 def preview(spark: SparkSession, path: str, limit: int = 2_000) -> list[dict]:
     """Type, width and uniqueness of each column over the first rows."""
     names = identifiers(header(spark, path))
-    df = rows(spark, path, names).limit(limit)
+    df = rows(spark, path, names).limit(limit)  # a preview does not refuse a line
     kinds = inferred(df, names)
     stats = df.agg(F.count(F.lit(1)).alias("n"), *(F.count_distinct(n).alias(f"d{k}") for k, n in enumerate(names))).first()
     return [{"name": c.name, "type": c.type_text, "unique": stats[f"d{k}"] == stats["n"]} for k, c in enumerate(kinds)]
