@@ -19,14 +19,15 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataF
     """doc_id, n_lines, n_dropped and kept_text for each row of docs."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    # th tells a null id from the id 0.
     base = base.withColumns({"id0": F.coalesce("doc_id", F.lit(0)), "th": F.xxhash64(F.col("doc_id").isNull(), "text")})
     # A-Z is lowered once for the whole text: newlines and blanks stay where they are.
-    lines = base.select("id0", "th", F.posexplode(F.split(ascii_lower(F.col("text")), "\n", -1)).alias("pos", "line"))
-    lines = lines.select("id0", "th", "pos", F.btrim("line", F.lit(BLANKS)).alias("key")).where(F.char_length("key") >= max(1, min_chars))
-    hashed = materialize(lines.select("id0", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2")), "lines")
-    often = hashed.groupBy("h1", "h2").agg(F.count_distinct("id0").alias("n_docs"), F.count(F.lit(1)).alias("n_rows")).where(F.col("n_docs") >= min_docs)
+    lines = base.select("doc_id", "id0", "th", F.posexplode(F.split(ascii_lower(F.col("text")), "\n", -1)).alias("pos", "line"))
+    lines = lines.select("doc_id", "id0", "th", "pos", F.btrim("line", F.lit(BLANKS)).alias("key")).where(F.char_length("key") >= max(1, min_chars))
+    hashed = materialize(lines.select("doc_id", "id0", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2")), "lines")
+    often = hashed.groupBy("h1", "h2").agg((F.count_distinct("doc_id") + F.max(F.col("doc_id").isNull().cast("int"))).alias("n_docs"), F.count(F.lit(1)).alias("n_rows")).where(F.col("n_docs") >= min_docs)
     often = materialize(often.select("h1", "h2", "n_rows"), "often")
-    drops = join_split(hashed, often, ["h1", "h2"], "n_rows").groupBy("id0", "th").agg(F.array_sort(F.collect_set("pos")).alias("drops"))
+    drops = join_split(hashed.drop("doc_id"), often, ["h1", "h2"], "n_rows").groupBy("id0", "th").agg(F.array_sort(F.collect_set("pos")).alias("drops"))
     whole = base.join(drops, ["id0", "th"], "left")
     parts = F.split("text", "\n", -1)
     n = F.coalesce(F.size("drops"), F.lit(0))
