@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.errors import QuernError
 from quern.functions import spatial
+from quern.operators.knn import nearest
 
 # The fusion constant, candidates a source, matching segments a song, segment length and hop in seconds.
 RRF_K, CANDIDATES, MIN_SEGMENTS = 60, 20, 2
@@ -30,12 +34,6 @@ def also_bought(purchases: DataFrame, buyer: str, item: str, bought: int) -> Dat
     return pairs.where(F.col("i") != bought).join(who, "b", "left_semi").groupBy(F.col("i").alias("item")).agg(F.count(F.lit(1)).alias("buyers"))
 
 
-def also_bought_pairs(purchases: DataFrame, buyer: str, item: str) -> DataFrame:
-    """(a, b, buyers) for all pairs of items with a common buyer."""
-    pairs = purchases.select(F.col(buyer).alias("u"), F.col(item).alias("i")).distinct()
-    return pairs.alias("x").join(pairs.alias("y"), (F.col("x.u") == F.col("y.u")) & (F.col("x.i") < F.col("y.i"))).groupBy(F.col("x.i").alias("a"), F.col("y.i").alias("b")).agg(F.count(F.lit(1)).alias("buyers"))
-
-
 def metadata_candidates(products: DataFrame, key: str, like: dict, kind: str, brand: str, colour: str) -> DataFrame:
     """Products of the same type, 2 points for the brand and 1 for the colour."""
     points = F.when(F.col(brand) == like[brand], 2).otherwise(0) + F.when(F.col(colour) == like[colour], 1).otherwise(0)
@@ -50,11 +48,14 @@ def candidates(ranked: DataFrame, item: int, most: int = CANDIDATES) -> DataFram
 
 
 def recommend(sources: dict, item: int, k: int = 10) -> tuple[DataFrame | None, dict[str, str]]:
-    """Fuse the sources {name: function giving (id, rank)}; one that fails is left out, with a notice."""
+    """Fuse the sources {name: function giving (id, rank)}; one that fails or is empty is left out, with a notice."""
     lists, notices = None, {}
     for name, source in sources.items():
         try:
-            own = source().select(F.lit(name).alias("source"), "id", "rank")
+            own = source().select(F.lit(name).alias("source"), F.col("id").cast("long").alias("id"), "rank")
+            if own.isEmpty():
+                notices[name] = "no candidates"
+                continue
         except Exception as error:  # a failing source must not take the others with it
             notices[name] = str(error).splitlines()[0]
             continue
@@ -70,6 +71,62 @@ def page(hits: DataFrame, order: list[Column], number: int, size: int = PAGE) ->
     return hits.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def catalog_search(products: DataFrame, key: str, scores: DataFrame | None, kind: str, price: str, of_kind: str = "", low: float | None = None, high: float | None = None, number: int = 1, size: int = PAGE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A page of a catalogue, the number of all hits, and how many products each kind has.
+
+    scores: (id, score) of a ranked text search, or None. Kind and price bounds filter the hits; a page is ordered by
+    score, or by key without a search. The facets count the whole catalogue, so that another kind can be chosen.
+    """
+    if low is not None and high is not None and low > high:
+        raise QuernError("the lowest price is above the highest")
+    hits = products
+    if of_kind:
+        hits = hits.where(F.col(kind) == of_kind)
+    if low is not None:
+        hits = hits.where(F.col(price) >= low)
+    if high is not None:
+        hits = hits.where(F.col(price) <= high)
+    order = [F.asc(key)]
+    if scores is not None:
+        hits = hits.join(scores.select(F.col("id").alias(key), "score"), key)
+        order = [F.desc(F.round("score", 9)), *order]
+    return page(hits, order, number, size), hits.agg(F.count(F.lit(1)).alias("total")), facets(products, kind)
+
+
+def ranked(df: DataFrame, key: str, order: list[Column], most: int) -> DataFrame:
+    """(id, rank) of the first `most` rows: a bounded heap in each task, then ranks of those few."""
+    few = df.orderBy(*order, key).limit(most)
+    return few.select(F.col(key).alias("id"), F.row_number().over(Window.orderBy(*order, key)).alias("rank"))
+
+
+def recommender(item: int, products: DataFrame, key: str, text: Callable, vectors: DataFrame, vector_key: str, column: str, kind: str, brand: str, colour: str, purchases: DataFrame, buyer: str, bought: str, k: int = 10, most: int = CANDIDATES) -> tuple[DataFrame | None, dict[str, str]]:
+    """What goes with an item, from four sources fused by rank: text, image, metadata and purchases; and a notice for each
+    source that failed or has no candidates.
+
+    text: a function of the item's row that gives (id, score). Each source brings the item itself and `most` others at most.
+    """
+    like = products.where(F.col(key) == item).limit(1).collect()
+    if not like:
+        raise QuernError(f"there is no product {item}")
+    like = like[0].asDict()
+
+    def by_image() -> DataFrame:
+        own = vectors.where(F.col(vector_key) == item).select(column).limit(1).collect()
+        if not own:
+            raise QuernError(f"product {item} has no vector")
+        near = nearest(vectors.select(vector_key, column), column, list(own[0][0]), most + 1, vector_key)
+        return ranked(near, vector_key, [F.asc(F.round("distance", 9))], most + 1)
+
+    sources = {
+        "text": lambda: ranked(text(like), "id", [F.desc(F.round("score", 9))], most + 1),
+        "image": by_image,
+        "metadata": lambda: ranked(metadata_candidates(products, key, like, kind, brand, colour), key, [F.desc("points")], most),
+        "purchases": lambda: ranked(also_bought(purchases, buyer, bought, item), "item", [F.desc("buyers")], most),
+    }
+    best, notices = recommend(sources, item, k)
+    return best, notices
+
+
 def nearest_with_stock(stock: DataFrame, branches: DataFrame, product: int, lat_e6: int, lon_e6: int, k: int = 3) -> DataFrame:
     """Branches that have a product, nearest first. stock: branch, product, stock; branches: branch, location."""
     have = stock.where((F.col("product") == product) & (F.col("stock") > 0))

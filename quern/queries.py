@@ -16,7 +16,8 @@ from quern.operators import ann, apps, media
 from quern.operators.knn import batch_nearest, distance_range
 from quern.operators.text_rank import TextIndex, precision_recall
 from quern.functions.text import ACCENTED, PLAIN, STOPWORDS
-from quern.session import Session
+from quern.session import Database, Session
+from quern.sources.work import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,7 +72,6 @@ def query(name: str, oracle: str | None = None):
 
 # --- scans, projection, filters
 dialect("scan_all", "SELECT * FROM customer", "SELECT * FROM customer")
-dialect("scan_pk_order", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey", "SELECT o_orderkey, o_totalprice FROM orders")
 dialect("pk_lookup", "SELECT * FROM orders WHERE o_orderkey = 7", "SELECT * FROM orders WHERE o_orderkey = 7")
 dialect("pk_range", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey BETWEEN 100 AND 900", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey BETWEEN 100 AND 900")
 dialect("index_eq", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey = 42", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey = 42")
@@ -128,7 +128,25 @@ def group_point(spark, sf):
 
 
 # --- order and limit
-dialect("order_by", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC", "SELECT c_custkey, c_acctbal FROM customer")
+
+
+def numbered(name: str, sql: str, oracle: str) -> None:
+    """Register a statement whose rows carry their place, so that the order counts: each task's rows are numbered as they
+    come, after the places of the tasks before it (a global sort leaves them in ranges)."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        df = session(spark, sf).sql(sql)
+        tagged = df.withColumns({"__task": F.spark_partition_id(), "__at": F.monotonically_increasing_id()})
+        sizes = tagged.groupBy("__task").agg(F.count(F.lit(1)).alias("__n"))
+        before = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__task")) - F.col("__n"))  # one row a task
+        own = F.row_number().over(Window.partitionBy("__task").orderBy("__at"))
+        return tagged.withColumn("__own", own).join(F.broadcast(before), "__task").select(*df.columns, (F.col("__before") + F.col("__own")).alias("place"))
+
+    QUERIES[name], ORACLES[name] = run, oracle
+
+
+numbered("scan_pk_order", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey", "SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) AS place FROM orders")
+numbered("order_by", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC", "SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS place FROM customer")
 dialect("order_hidden", "SELECT p_name FROM part ORDER BY p_retailprice LIMIT 7", "SELECT p_name FROM part ORDER BY p_retailprice, p_partkey LIMIT 7")
 dialect("order_alias", "SELECT o_custkey, COUNT(*) AS Veces FROM orders GROUP BY o_custkey ORDER BY veces DESC LIMIT 12", 'SELECT o_custkey, count(*) AS "Veces" FROM orders GROUP BY 1 ORDER BY 2 DESC, CAST(o_custkey AS VARCHAR) LIMIT 12')
 dialect("order_avg_text", "SELECT p_brand, AVG(p_size) AS m FROM part GROUP BY p_brand ORDER BY m LIMIT 5", "SELECT p_brand, printf('%.2f', avg(p_size)) AS m FROM part GROUP BY 1 ORDER BY m, p_brand LIMIT 5")
@@ -140,6 +158,8 @@ dialect("geo_radius", f"SELECT c_custkey FROM lugares WHERE distancia(ubicacion,
 dialect("geo_radius_outside", f"SELECT c_custkey FROM lugares WHERE distancia(ubicacion, {LIMA}) >= 15000", f"SELECT c_custkey FROM {PLACES} WHERE {METRES} >= 15000")
 dialect("geo_euclidean", f"SELECT c_custkey FROM lugares WHERE distancia(ubicacion, {LIMA}, 'euclidiana') <= 7000", f"SELECT c_custkey FROM {PLACES} WHERE sqrt(pow(radians(lat / 1e6) - radians(-12.0464), 2) + pow(radians(lon / 1e6) - radians(-77.0428), 2)) * 6371000 <= 7000")
 dialect("geo_polygon", "SELECT c_custkey FROM lugares WHERE dentro(ubicacion, POLYGON((-12.13 -77.15, -12.13 -77.02, -12.03 -77.02, -12.03 -77.15)))", f"SELECT c_custkey FROM {PLACES} WHERE lat BETWEEN -12130000 AND -12030000 AND lon BETWEEN -77150000 AND -77020000")
+# An L: a box without its upper right corner; the inner border belongs to it.
+dialect("geo_polygon_concave", "SELECT c_custkey FROM lugares WHERE dentro(ubicacion, POLYGON((-12.19 -77.19, -12.19 -77.01, -12.11 -77.01, -12.11 -77.11, -12.01 -77.11, -12.01 -77.19)))", f"SELECT c_custkey FROM {PLACES} WHERE lat BETWEEN -12190000 AND -12010000 AND lon BETWEEN -77190000 AND -77010000 AND (lat <= -12110000 OR lon <= -77110000)")
 dialect("geo_order", f"SELECT c_custkey FROM lugares ORDER BY distancia(ubicacion, {LIMA}) LIMIT 100", f"SELECT c_custkey FROM {PLACES} ORDER BY rint_mm, c_custkey LIMIT 100".replace("rint_mm", f"round({METRES} * 1000)"))
 dialect("geo_knn", f"SELECT c_custkey, c_name FROM lugares ORDER BY distancia(ubicacion, {LIMA}) LIMIT 5", f"SELECT c_custkey, c_name FROM {PLACES} ORDER BY {METRES} LIMIT 5")
 
@@ -177,14 +197,29 @@ def ivf_all_lists(spark, sf):
     return index.search(Q64, 10, nprobe=16).select("vec_id", F.round("distance", 5).alias("distance"))
 
 
-@query("ivf_knn")
+def _recall(spark, sf, found: DataFrame) -> DataFrame:
+    """Whether an index finds nine tenths of the exact ten nearest of every vector whose id is divisible by 50."""
+    v = table(spark, sf, "embeddings")
+    exact = batch_nearest(v, v.where("vec_id % 50 = 0"), "embedding", "vec_id", "vec_id", 10).select("query", "key")
+    both = exact.join(found.select("query", "key", F.lit(1).alias("hit")), ["query", "key"], "left")
+    return both.agg(F.count_distinct("query").alias("queries"), (F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("recall_reached"))
+
+
+RECALL = "SELECT count(*) AS queries, true AS recall_reached FROM embeddings WHERE vec_id % 50 = 0"
+
+
+@query("ivf_knn", RECALL)
 def ivf_knn(spark, sf):
-    return ann.Ivf.build(table(spark, sf, "embeddings"), "vec_id", "embedding", nlist=16).search(Q64, 10, nprobe=8).select("vec_id", "distance")
+    v = table(spark, sf, "embeddings")
+    index = ann.Ivf.build(v, "vec_id", "embedding", nlist=16, folder=fresh_path(spark, "ivf"))
+    return _recall(spark, sf, index.search_many(v.where("vec_id % 50 = 0"), "vec_id", "embedding", 10, nprobe=12))
 
 
-@query("hnsw_knn")
+@query("hnsw_knn", RECALL)
 def hnsw_knn(spark, sf):
-    return ann.Hnsw.build(table(spark, sf, "embeddings"), "vec_id", "embedding").search(Q64, 10, 64).select("vec_id", "distance")
+    v = table(spark, sf, "embeddings")
+    index = ann.Hnsw.build(v, "vec_id", "embedding", folder=fresh_path(spark, "hnsw"))
+    return _recall(spark, sf, index.search_many(v.where("vec_id % 50 = 0"), "vec_id", "embedding", 10, ef=256))
 
 
 @query("similar_postfilter", f"SELECT vec_id, label FROM (SELECT vec_id, label FROM embeddings ORDER BY {COS}, vec_id LIMIT 20) WHERE label < 5")
@@ -297,14 +332,6 @@ def rrf(spark, sf):
     return apps.fuse(_lists(spark, sf)).select("id", F.round("rrf", 8).alias("rrf"), "best_rank")
 
 
-@query("recommend")
-def recommend(spark, sf):
-    """All sources fused for one item: prices, sizes, names and co-purchase."""
-    bought = lambda: also_bought(spark, sf).orderBy(F.desc("buyers"), "item").limit(20).select(F.col("item").alias("id"), F.row_number().over(Window.orderBy(F.desc("buyers"), "item")).alias("rank"))
-    lists = _lists(spark, sf)
-    return apps.recommend({n: (lambda n=n: lists.where(F.col("source") == n).select("id", "rank")) for n in ("price", "size", "name")} | {"bought": bought}, 1)[0]
-
-
 BASKET = "SELECT DISTINCT o_custkey AS u, l_partkey AS i FROM orders JOIN lineitem ON o_orderkey = l_orderkey"
 
 
@@ -318,6 +345,35 @@ def also_bought(spark, sf):
     return apps.also_bought(_purchases(spark, sf), "o_custkey", "l_partkey", 1)
 
 
+RECOMMEND = f"""
+WITH me AS (SELECT * FROM documents WHERE doc_id = 1), b AS ({BASKET}),
+l AS (
+  SELECT * FROM (SELECT 'text' AS source, doc_id AS id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM ({BM25}) WHERE score > 0) WHERE rank <= 21
+  UNION ALL SELECT * FROM (SELECT 'image', r.vec_id, row_number() OVER (ORDER BY round(1 - list_inner_product(q.embedding::DOUBLE[], r.embedding::DOUBLE[]) / (sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_inner_product(r.embedding::DOUBLE[], r.embedding::DOUBLE[]))), 9), r.vec_id) AS rank FROM embeddings q JOIN embeddings r ON q.vec_id = 1) WHERE rank <= 21
+  UNION ALL SELECT * FROM (SELECT 'metadata', d.doc_id, row_number() OVER (ORDER BY CASE WHEN d.source = me.source THEN 2 ELSE 0 END + CASE WHEN d.n_chars = me.n_chars THEN 1 ELSE 0 END DESC, d.doc_id) AS rank FROM documents d JOIN me ON d.lang = me.lang AND d.doc_id <> 1) WHERE rank <= 20
+  UNION ALL SELECT * FROM (SELECT 'purchases', i, row_number() OVER (ORDER BY count(*) DESC, i) AS rank FROM b WHERE i <> 1 AND u IN (SELECT u FROM b WHERE i = 1) GROUP BY i) WHERE rank <= 20
+), c AS (SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY rank, id) AS rank FROM l WHERE id <> 1 QUALIFY rank <= 20)
+SELECT CAST(id AS BIGINT) AS id, round(sum(1.0 / (60 + rank)), 8) AS rrf, CAST(min(rank) AS INT) AS best_rank FROM c GROUP BY id ORDER BY sum(1.0 / (60 + rank)) DESC, min(rank), id LIMIT 10
+"""
+
+
+@query("recommend", RECOMMEND)
+def recommend(spark, sf):
+    """Text, image, metadata and purchases fused for item 1; documents stand for products."""
+    docs = table(spark, sf, "documents")
+    text = lambda _: session(spark, sf).text_scores(session(spark, sf).table("documents"), "text", TEXT_QUERY, "BM25")
+    best, _ = apps.recommender(1, docs, "doc_id", text, table(spark, sf, "embeddings"), "vec_id", "embedding", "lang", "source", "n_chars", _purchases(spark, sf), "o_custkey", "l_partkey")
+    return best.select("id", F.round("rrf", 8).alias("rrf"), "best_rank")
+
+
+@query("catalog_search", f"SELECT doc_id, round(score, 6) AS score, count(*) OVER () AS total FROM ({BM25}) JOIN documents USING (doc_id) WHERE lang = 'en' AND n_chars BETWEEN 200 AND 5000 ORDER BY round(score, 9) DESC, doc_id LIMIT 12 OFFSET 12")
+def catalog_search(spark, sf):
+    """The second page of a search with a kind and a range; documents stand for products, their size for the price."""
+    scores = session(spark, sf).text_scores(session(spark, sf).table("documents"), "text", TEXT_QUERY, "BM25")
+    hits, total, _ = apps.catalog_search(table(spark, sf, "documents"), "doc_id", scores, "lang", "n_chars", "en", 200, 5000, 2)
+    return hits.join(F.broadcast(total)).select("doc_id", F.round("score", 6).alias("score"), "total")  # total is one row
+
+
 @query("metadata_rank", "SELECT p_partkey, CAST(CASE WHEN p_brand = (SELECT p_brand FROM part WHERE p_partkey = 1) THEN 2 ELSE 0 END + CASE WHEN p_size = (SELECT p_size FROM part WHERE p_partkey = 1) THEN 1 ELSE 0 END AS INT) AS points FROM part WHERE p_partkey <> 1 AND p_type = (SELECT p_type FROM part WHERE p_partkey = 1)")
 def metadata_rank(spark, sf):
     part = table(spark, sf, "part")
@@ -335,13 +391,12 @@ def catalog_page(spark, sf):
     return apps.page(table(spark, sf, "part").where("p_size > 10"), [F.asc("p_retailprice"), F.asc("p_partkey")], 2).select("p_partkey", "p_name")
 
 
-@query("branches_with_stock", f"SELECT c_custkey AS branch, o_orderkey AS stock FROM orders JOIN {PLACES} ON o_custkey = c_custkey WHERE o_custkey % 3 = 1 AND o_orderkey % 10 > 2 ORDER BY round({METRES} * 1000), branch, stock LIMIT 8")
+@query("branches_with_stock", f"SELECT c_custkey AS branch, stock, CAST(round(metres) AS BIGINT) AS metres FROM (SELECT o_custkey, count(*) AS stock FROM orders WHERE o_orderkey % 10 > 2 AND o_custkey % 3 = 1 GROUP BY 1) JOIN (SELECT *, {METRES} AS metres FROM {PLACES}) ON o_custkey = c_custkey ORDER BY round(metres * 1000), branch LIMIT 8")
 def branches_with_stock(spark, sf):
-    stock = table(spark, sf, "orders").where("o_orderkey % 10 > 2").select(F.col("o_custkey").alias("branch"), (F.col("o_custkey") % 3).alias("product"), F.col("o_orderkey").alias("stock"))
+    """Customers stand for branches, their key modulo 3 for the product, their orders for its stock."""
+    stock = table(spark, sf, "orders").where("o_orderkey % 10 > 2").groupBy(F.col("o_custkey").alias("branch")).agg(F.count(F.lit(1)).alias("stock")).withColumn("product", F.col("branch") % 3)
     branches = places(spark, sf).select(F.col("c_custkey").alias("branch"), F.col("ubicacion").alias("location"))
-    have = stock.where("product = 1 AND stock > 0").join(branches, "branch")
-    d = spatial.distance_m(F.col("location"), -12_046_400, -77_042_800)
-    return have.orderBy(F.rint(d * 1000), "branch", "stock").limit(8).select("branch", "stock")
+    return apps.nearest_with_stock(stock, branches, 1, -12_046_400, -77_042_800, 8).select("branch", "stock", F.round("metres").cast("long").alias("metres"))
 
 
 @query("segment_starts", "WITH t AS (SELECT o_orderkey, (o_orderkey % 60) + 0.25 AS s FROM orders), g AS (SELECT o_orderkey, s, unnest(range(0, greatest(1, CAST(floor((s - 9.5) / 5) AS BIGINT) + 1))) AS i FROM t) SELECT o_orderkey, CAST(i * 5 AS DOUBLE) AS \"start\", CAST(least(i * 5 + 10, s) AS DOUBLE) AS \"end\" FROM g")
@@ -373,17 +428,40 @@ def zscore(spark, sf):
     return media.zscored(table(spark, sf, "events"), "event_type", "value").select("event_id", F.round("z", 4).alias("z"))
 
 
-@query("explain")
+def _values(name: str, rows: list[tuple]) -> str:
+    quoted = lambda v: "'" + v.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(quoted, r)) + ')' for r in rows)}) v({name})"
+
+
+PLAN = [
+    "Limit", "  -> Sort", "     Sort Key: o_orderkey", "    -> Hash Join", "       Hash Cond: o.o_custkey = c.c_custkey", "      -> Filter",
+    "         Filter: o.o_custkey BETWEEN 3 AND 9", "        -> Seq Scan on orders", "      -> Seq Scan on customer",
+]
+
+
+@query("explain", _values("plan", [(x,) for x in PLAN]))
 def explain(spark, sf):
-    """The plan of a join, without timings."""
+    """The plan of a join, without estimates and timings."""
     out = session(spark, sf).sql(f"EXPLAIN SELECT o.o_orderkey, c.c_name {JOIN} WHERE o.o_custkey BETWEEN 3 AND 9 ORDER BY o_orderkey LIMIT 4")
-    return out.where(~F.col("plan").contains("Time:"))
+    return out.where(~F.col("plan").contains("Time:")).select(F.regexp_replace("plan", r"  \(cost=.*\)$", "").alias("plan"))
 
 
-@query("describe")
+@query("describe", _values("columna, tipo, clave, indice", [("doc_id", "INT", "PK", ""), ("text", "VARCHAR", "", "spimi (SPIMI)"), ("lang", "VARCHAR", "", ""), ("source", "VARCHAR", "", ""), ("n_chars", "INT", "", "")]))
 def describe(spark, sf):
     return session(spark, sf).execute("DESCRIBE documents").df
 
 
+@query("show_tables", "SELECT 'ciudades' AS tabla, 'BPLUS' AS organizacion, 'id' AS clave, 2 AS columnas, CAST(25 AS BIGINT) AS registros, 'PRIMARY(id), por_nombre(nombre)' AS indices")
+def show_tables(spark, sf):
+    """A database with one table, loaded from the nations."""
+    s = Session(Database(spark, fresh_path(spark, "db")))
+    s.execute("CREATE TABLE ciudades (id INT PRIMARY KEY, nombre VARCHAR(25)) USING BPLUS")
+    path = fresh_path(spark, "csv")
+    table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("nombre")).coalesce(1).write.option("header", True).csv(path)
+    s.execute(f"COPY ciudades FROM FILE '{path}'")
+    s.execute("CREATE INDEX por_nombre ON ciudades (nombre) USING HASH")
+    return s.execute("SHOW TABLES").df.select("tabla", "organizacion", "clave", "columnas", "registros", "indices")
+
+
 FLAGSHIP = "SELECT y.n_name, COUNT(*) AS n, SUM(x.c_acctbal) AS s FROM customer x JOIN nation y ON x.c_nationkey = y.n_nationkey WHERE x.c_acctbal > 0 GROUP BY y.n_name ORDER BY n DESC LIMIT 10"
 dialect("flagship", FLAGSHIP, "SELECT n_name, count(*) AS n, round(sum(c_acctbal), 2) AS s FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0 GROUP BY 1 ORDER BY n DESC, n_name LIMIT 10", s=2)

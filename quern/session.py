@@ -128,7 +128,7 @@ class Session:
         """Rows and pages of 4 KiB as the catalog has them; of an attached table as its files' sizes and types suggest."""
         if t.native or t.rows < 0:
             plan = self.frame(t)._jdf
-            size = int(plan.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+            size = int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
             return max(1, size // plan.schema().defaultSize()), -(-size // 4096)
         return t.rows, -(-sum(self.db.catalog.files.size(f) for f in t.folders) // 4096)
 

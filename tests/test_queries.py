@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern import queries
+from quern.errors import QuernError
 from quern.functions import spatial, text, vector
 from quern.functions.numbers import fixed2, float_text
 from quern.operators import ann, apps, media
@@ -125,6 +126,84 @@ def test_text_index_is_kept_in_files(spark, tmp_path):
     assert again.search("the of", "TF_IDF").count() == 0
 
 
+def test_mfcc_against_plain_sums(spark, tmp_path):
+    """A window's coefficients by definition: a transform, triangles in mel and cosines, each as plain sums."""
+    import wave
+
+    rng = np.random.default_rng(4)
+    t = np.arange(media.RATE // 4) / media.RATE
+    x = 0.4 * np.sin(2 * np.pi * 440 * t) + 0.1 * np.sin(2 * np.pi * 3000 * t) + 0.01 * rng.normal(size=len(t))
+    with wave.open(str(tmp_path / "a.wav"), "wb") as f:
+        f.setnchannels(2), f.setsampwidth(2), f.setframerate(media.RATE)
+        f.writeframes(np.repeat((x * 32767).astype("<i2"), 2).tobytes())
+    (tmp_path / "b.wav").write_bytes(b"no audio")
+    rows = media.audio_descriptors(spark, f"file://{tmp_path}/*.wav").collect()
+    assert {r["id"].rsplit("/", 1)[1] for r in rows} == {"a.wav"} and len(rows) == 1 + len(x) // media.HOP
+    signal = (x * 32767).astype("<i2") / 32768
+    padded = np.concatenate([np.zeros(media.FRAME // 2), signal, np.zeros(media.FRAME // 2)])
+    n, bins = np.arange(media.FRAME), media.FRAME // 2 + 1
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * n / media.FRAME)
+    basis = np.exp(-2j * np.pi * np.outer(np.arange(bins), n) / media.FRAME)
+    levels = []
+    mel = lambda f: f * 3 / 200 if f < 1000 else 15 + 27 * np.log(f / 1000) / np.log(6.4)
+    hertz = lambda m: m * 200 / 3 if m < 15 else 1000 * 6.4 ** ((m - 15) / 27)
+    edges = [hertz(mel(media.RATE / 2) * i / (media.BANDS + 1)) for i in range(media.BANDS + 2)]
+    for k in range(len(rows)):
+        power = np.abs(basis @ (padded[k * media.HOP : k * media.HOP + media.FRAME] * hann)) ** 2
+        band = []
+        for low, mid, high in zip(edges, edges[1:], edges[2:], strict=False):
+            f = np.arange(bins) * media.RATE / media.FRAME
+            weight = np.where(f <= mid, (f - low) / (mid - low), (high - f) / (high - mid)).clip(0) * 2 / (high - low)
+            band.append(10 * np.log10(max(1e-10, float(weight @ power))))
+        levels.append(band)
+    levels = np.maximum(levels, np.max(levels) - 80)
+    c = np.arange(media.BANDS)
+    want = [[sum(row * np.cos(np.pi * j * (c + 0.5) / media.BANDS)) * np.sqrt((1 if j == 0 else 2) / media.BANDS) for j in range(media.COEFFICIENTS)] for row in levels]
+    got = np.array([r["descriptor"] for r in rows])
+    assert np.abs(got - np.array(want)).max() < 0.01
+    assert media.mfcc(np.zeros(0)).shape == (0, media.COEFFICIENTS)
+
+
+def test_recommender_gives_notices(spark):
+    products = spark.createDataFrame([(i, f"kind{i % 2}", f"b{i % 3}", f"c{i % 4}") for i in range(12)], "id long, kind string, brand string, colour string")
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1, 12)], "id long, v array<float>")
+    bought = spark.createDataFrame([(u, p) for u in range(4) for p in (0, u + 3, 7)], "u long, p long")
+    broken = lambda _: 1 / 0
+    best, notices = apps.recommender(0, products, "id", broken, vectors, "id", "v", "kind", "brand", "colour", bought, "u", "p")
+    assert set(notices) == {"text", "image"}
+    assert 0 not in {r["id"] for r in best.collect()} and best.first()["id"] in (4, 6, 7)
+    with pytest.raises(QuernError):
+        apps.recommender(99, products, "id", broken, vectors, "id", "v", "kind", "brand", "colour", bought, "u", "p")
+    with pytest.raises(QuernError):
+        apps.catalog_search(products, "id", None, "kind", "id", low=5, high=2)
+    hits, total, kinds = apps.catalog_search(products, "id", None, "kind", "id", of_kind="kind1", low=3, number=1, size=2)
+    assert [r["id"] for r in hits.collect()] == [3, 5] and total.first()[0] == 5 and kinds.count() == 2
+
+
+def test_stems_begin_like_their_words(spark):
+    """What lets MATCH look at a word's first letters before it is stemmed."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select(F.explode(text.tokens(F.col("text"))).alias("w")).distinct().collect()
+    suffixes = [x for x, _ in text.STEP2 + text.STEP3 + text.STEP4] + ["eed", "ed", "ing", "s", "ies", "y", "ies", "edly", "ings"]
+    words = [r["w"] for r in rows] + [b + s for b in ("relat", "condit", "valenc", "digit", "hop", "fall", "happ", "sens", "triplic", "adjust", "plast", "confl", "trou") for s in suffixes]
+    assert len(words) > 300 and all(w.startswith(text.stem_prefix(text.stem(w))) for w in words)
+
+
+def test_batch_nearest_against_brute_force(spark, monkeypatch):
+    from quern.operators import knn
+
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.normal(size=(200, 6)), np.zeros((2, 6)), rng.normal(size=(1, 6)).repeat(5, 0)]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>").repartition(5)
+    monkeypatch.setattr(knn, "CELLS", 64)
+    monkeypatch.setattr(knn, "BLOCK_QUERIES", 7)
+    for metric in ("COSENO", "EUCLIDIANA", "PRODUCTO_PUNTO"):
+        got = {(r["query"], r["rank"]): r["key"] for r in knn.batch_nearest(df, df.where("id % 9 = 0"), "v", "id", "id", 4, metric).collect()}
+        for q in range(0, len(x), 9):
+            one = df.where(F.col("id") == q).first()["v"]
+            want = [r["id"] for r in df.orderBy(F.round(vector.distance(F.col("v"), F.array(*(F.lit(float(v)).cast("float") for v in one)), metric), 11), "id").limit(4).collect()]
+            assert [got[q, k] for k in range(1, 5)] == want
+
+
 def test_explained_variance(spark):
     df = spark.createDataFrame([([float(i), 2.0 * i, 0.01 * (-1) ** i],) for i in range(20)], "v array<double>")
     first, second = media.explained_variance(df, "v", 2)
