@@ -8,7 +8,7 @@ import time
 from dataclasses import dataclass, field, replace
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.errors import QuernError
@@ -378,17 +378,52 @@ class Session:
         return Result("create_table", message=f"table {s.table} created")
 
     def add_rows(self, t: Table, df: DataFrame) -> None:
-        """Write a new folder of the snapshot; ordered tables are laid out by key, so that row groups can be skipped."""
+        """Write a new folder of the snapshot, laid out as the table's order and indexes ask for.
+
+        Tables ordered by key are range-partitioned and sorted by it; a heap is sorted by its first BPLUS index, or along a
+        space-filling curve over its RTREE column, so that row groups outside a range or a box are skipped. HASH and BPLUS
+        columns get Bloom filters, which skip row groups for equality. Beyond MOST_FOLDERS the smaller half becomes one.
+        """
         if len(t.folders) >= MOST_FOLDERS:
-            df, t.folders = self.frame(t).unionByName(df), []
+            small = sorted(t.folders, key=self.db.catalog.files.size)[: MOST_FOLDERS // 2]
+            merged = self.spark.read.schema(t.schema).parquet(*small)
+            n = merged.count()
+            df, t.rows, t.folders = merged.unionByName(df), self.rows_of(t) - n, [f for f in t.folders if f not in small]
         before = self.rows_of(t) if t.folders else 0
+        order = None
         if t.organization != "HEAP":
-            df = df.repartitionByRange(F.col(t.key.name)).sortWithinPartitions(t.key.name)
+            order = F.col(t.key.name)
+        elif index := next((i for i in t.indexes if i.kind in ("BPLUS", "RTREE")), None):
+            order = F.col(t.column(index.column).name)
+            order = curve(order) if index.kind == "RTREE" else order
+        if order is not None:
+            df = df.withColumn("__order", order).repartitionByRange("__order").sortWithinPartitions("__order").drop("__order")
         folder = self.db.catalog.folder(t.name)
-        df.write.parquet(folder)
+        hashed = {t.column(i.column).name for i in t.indexes if i.kind in ("HASH", "BPLUS")}
+        df.write.options(**{f"parquet.bloom.filter.enabled#{c}": "true" for c in hashed}).parquet(folder)
         t.rows = before + self.spark.read.schema(t.schema).parquet(folder).count()
         t.folders = [*t.folders, folder]
 
+    def remove_keys(self, t: Table, gone: DataFrame) -> None:
+        """Take rows out by key: only folders that hold one of the keys are written again."""
+        key = t.key.name
+        gone = gone.select(key)
+        held = self.frame(t).select(key, F.regexp_extract("_metadata.file_path", "^(.*)/[^/]+$", 1).alias("__folder")).join(gone, key, "left_semi")
+        names = {r["__folder"].rsplit("/", 1)[1] for r in held.select("__folder").distinct().collect()}  # at most as many as folders
+        touched = [f for f in t.folders if f.rsplit("/", 1)[1] in names]
+        if not touched:
+            return
+        rows = self.spark.read.schema(t.schema).parquet(*touched)
+        n = rows.count()
+        keep = rows.join(gone, key, "left_anti").select(*(c.name for c in t.columns))
+        folders, total = t.folders, self.rows_of(t)
+        t.folders, t.rows = [f for f in folders if f not in touched], total - n
+        try:
+            self.add_rows(t, keep)
+        except Exception:
+            t.folders, t.rows = folders, total
+            raise
+
     def load(self, t: Table, path: str, names: list[str], whole: bool) -> int:
         """Load a file into t. whole: all or nothing; else the lines before the first bad one stay."""
         lines = csv_files.check(csv_files.rows(self.spark, path, names))
@@ -468,6 +503,9 @@ class Session:
         if s.index_kind == "IVF" and self.rows_of(t) < int(options["nlist"]):
             raise QuernError(f"IVF needs at least nlist = {options['nlist']} rows")
         self.create_index(t, Index(s.index, t.column(s.column).name, s.index_kind, options))
+        if s.index_kind in ORDINARY and t.folders:  # the rows are laid out anew
+            rows, t.folders = self.frame(t), []
+            self.add_rows(t, rows)
         self.publish(t)
         return Result("create_index", message=f"index {s.index} created")
 
@@ -513,13 +551,7 @@ class Session:
         gone = low.filtered(low.sides[0].frame, s.where)
         n = gone.count()
         if n:
-            keep = self.frame(t).join(gone.select(t.key.name), t.key.name, "left_anti").select(*(c.name for c in t.columns))
-            t.folders, before = [], t.folders
-            try:
-                self.add_rows(t, keep)
-            except Exception:
-                t.folders = before
-                raise
+            self.remove_keys(t, gone)
             self.publish(t)
         return Result("delete", message=f"{n} rows deleted", affected=n)
 
@@ -556,6 +588,18 @@ class Session:
         self.transaction, self.staged = 0, {}
 
 
+def curve(point: Column) -> Column:
+    """A place on a space-filling curve: the bits of latitude and longitude in turn, 16 of each."""
+    lat, lon = ((point["lat_e6"] + 90_000_000) / 180_000_001 * 65_536).cast("long"), ((point["lon_e6"] + 180_000_000) / 360_000_001 * 65_536).cast("long")
+
+    def spread(x: Column) -> Column:
+        for shift, mask in ((16, 0x0000FFFF), (8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(mask)
+        return x
+
+    return F.shiftleft(spread(lat), 1).bitwiseOR(spread(lon))
+
+
 def index_options(kind: str, given: list[tuple[str, str]]) -> dict[str, str]:
     """Checked WITH options of an IVF or HNSW index, over their defaults."""
     if kind not in ("IVF", "HNSW"):

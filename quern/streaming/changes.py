@@ -1,8 +1,8 @@
 """Change logs as streams: each micro-batch becomes one new snapshot of a table.
 
 A change is a row with the table's columns, `op` ('insert' or 'delete') and `seq`, its place in the log. Within a batch
-the last change of a key counts. Changed keys are taken out and inserted rows put in, so a batch that is applied twice
-leaves the same table; vector and text indexes follow at their next use.
+the last change of a key counts. Changed keys are taken out (only folders that hold one are written again) and inserted
+rows put in as a folder, so a batch that is applied twice leaves the same table; indexes follow at their next use.
 """
 
 from __future__ import annotations
@@ -36,9 +36,9 @@ def apply_batch(db: Database, table: str, changes: DataFrame) -> int:
             if n := last.count():
                 fitted = lambda c: F.col(c) if t.column(c).kind in ("VECTOR", "POINT") else F.col(c).cast(t.schema[c].dataType).alias(c)
                 rows = last.where("op = 'insert'").select(*map(fitted, names))
-                kept = session.frame(t).join(last.select(F.col(key).cast(t.schema[key].dataType).alias(key)), key, "left_anti").select(*names)
-                t.folders = []
-                session.add_rows(t, kept.unionByName(rows))
+                if t.folders:
+                    session.remove_keys(t, last.select(F.col(key).cast(t.schema[key].dataType).alias(key)))
+                session.add_rows(t, rows)
                 session.publish(t)
             return n
         finally:
