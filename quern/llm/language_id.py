@@ -5,11 +5,13 @@ A byte is coded in the longest known context; if it has not followed there, an e
 (occurrences + distinct followers)) leads to the next shorter context, at last to 1/256. Statistics are frozen, so the
 bits that a byte costs depend on it and the three bytes before it alone: they are tabulated once for every language,
 and a text's exact code length is a sum of table entries over all its bytes. The shortest code wins; score is the
-share of the winner among 2^-bits of all languages. Case is folded.
+share of the winner among 2^-bits of all languages, and bits_per_byte what the winner needs for a byte: a text in no
+learned language needs more than the 8 bits of no model at all. Case is folded.
 
 The trees are learned from a bounded sample of the labelled rows: PER_LANG documents a language, MAX_SAMPLE in all,
 none above SAMPLE_BYTES bytes, chosen by a hash of the id. Null text or a text without a letter: `und`, score 0. So is
 every text if there is nothing to learn from. Ties go to the language that sorts first. Null ids are never learned from.
+Repeated rows get equal predictions; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -119,6 +121,7 @@ class ContextTrees:
         """Code length of each text under each language."""
         out = np.zeros((len(texts), len(self.langs)))
         piece, owner, held = [], [], 0
+        most = max(4_096, PIECE * 4 // max(4, len(self.langs)))  # what a piece costs grows with the languages
 
         def flush():
             nonlocal piece, owner, held
@@ -135,24 +138,25 @@ class ContextTrees:
 
         for i, t in enumerate(texts):
             b = START + t.lower().encode("utf-8", "surrogatepass")
-            for a in range(0, len(b) - ORDER, PIECE):
-                piece.append(b[a : a + PIECE + ORDER])
+            for a in range(0, len(b) - ORDER, most):
+                piece.append(b[a : a + most + ORDER])
                 owner.append(i)
                 held += len(piece[-1])
-                if held >= PIECE:
+                if held >= most:
                     flush()
         flush()
         return out
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """Language, score and bits a byte of each text."""
         known = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if self.langs else []
-        out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
+        out: list[tuple[str, float, float]] = [("und", 0.0, 8.0)] * len(texts)
         if known:
             bits = self.bits([texts[i] for i in known])
             best = bits.argmin(1)
             share = 1 / np.exp2(np.minimum(0, bits.min(1)[:, None] - bits)).sum(1)
-            for i, b, p in zip(known, best.tolist(), share.tolist(), strict=True):
-                out[i] = self.langs[b], p
+            for i, b, p, n in zip(known, best.tolist(), share.tolist(), bits.min(1).tolist(), strict=True):
+                out[i] = self.langs[b], p, n / len(texts[i].encode("utf-8", "surrogatepass"))
         return out
 
 
@@ -179,21 +183,22 @@ def learn(docs: DataFrame, usable=None) -> ContextTrees:
 
 
 def predictor(trees: ContextTrees, spark: SparkSession):
-    """A column function: text to struct(lang_pred, score)."""
+    """A column function: text to struct(lang_pred, score, bits_per_byte)."""
     bounded_arrow(spark)
     shared = spark.sparkContext.broadcast(trees)
 
-    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    @F.arrow_udf("struct<lang_pred:string,score:double,bits_per_byte:double>")
     def predict(text: pa.Array) -> pa.Array:
         found = shared.value.predict(text.to_pylist())
-        return pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())], ["lang_pred", "score"])
+        columns = [pa.array([x[k] for x in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.float64()))]
+        return pa.StructArray.from_arrays(columns, ["lang_pred", "score", "bits_per_byte"])
 
     return predict
 
 
 def language_id(docs: DataFrame, trees: ContextTrees) -> DataFrame:
-    """docs with lang_pred and score; columns of these names are replaced."""
-    return docs.withColumn("__found", predictor(trees, docs.sparkSession)(F.col("text"))).withColumns({"lang_pred": F.col("__found.lang_pred"), "score": F.col("__found.score")}).drop("__found")
+    """docs with lang_pred, score and bits_per_byte; columns of these names are replaced."""
+    return docs.withColumn("__found", predictor(trees, docs.sparkSession)(F.col("text"))).withColumns({c: F.col(f"__found.{c}") for c in ("lang_pred", "score", "bits_per_byte")}).drop("__found")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

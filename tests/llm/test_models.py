@@ -50,7 +50,25 @@ def test_language_edges(table, edges):
     assert all(0 <= r["score"] <= 1 for r in got.values())
     empty = table([])
     assert language_id.language_id(empty, language_id.learn(empty)).count() == 0
-    assert language_id.learn(empty).predict(["text"]) == [("und", 0.0)]
+    assert language_id.learn(empty).predict(["text"]) == [("und", 0.0, 8.0)]
+
+
+def test_language_ties(table):
+    """Languages learned from the same texts tie; the one that sorts first wins, half each."""
+    rows = [(i, f"the cat number {i % 9} sat", ("xx", "aa")[i // 9]) for i in range(18)]
+    trees = language_id.learn(table(rows))
+    assert trees.langs == ["aa", "xx"]
+    assert [(x, round(p, 6)) for x, p, _ in trees.predict(["the cat sat", "THE CAT SAT"])] == [("aa", 0.5)] * 2
+
+
+def test_texts_in_no_language_cost_more_than_no_model(spark, prose):
+    trees = language_id.learn(spark.read.parquet(f"{SF}/documents.parquet"))
+    rng = np.random.default_rng(1)
+    junk = ["".join(chr(33 + int(x)) for x in rng.integers(0, 90, 600)), "日本語のテキストです。これは長い文章です。" * 10, "0x3fa9b2 c0ffee deadbeef 1a2b3c4d " * 20, "Привет, как дела? " * 9]
+    assert all(n > 8 for _, _, n in trees.predict(junk))
+    texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").where("lang is not null").collect()]
+    known = [n for x, _, n in trees.predict(texts) if x != "und"]
+    assert np.mean(np.array(known) < 8) >= 0.999
 
 
 def test_language_held_out(spark):
@@ -82,6 +100,24 @@ def test_gradients():
         assert (up - down) / (2 * step) == pytest.approx(float(grads[name][at]), abs=2e-3)
 
 
+def naive_score(net, text):
+    """The network byte by byte: one window at each byte, chunks of two blocks, zeros behind the end."""
+    n, p = len(text), net.p
+    padded = list(text) + [0] * (quality.WIDTH - 1)
+    values = [p["bias"] + sum(p["embed"][padded[i + j]] @ p["filters"][j] for j in range(quality.WIDTH)) for i in range(n)]
+    blocks = [np.maximum(0, np.max(values[i : i + quality.BLOCK], axis=0)) for i in range(0, n, quality.BLOCK)]
+    chunks = [np.maximum(a, b) for a, b in zip(blocks, blocks[1:], strict=False)] or blocks
+    f = np.concatenate([np.mean(chunks, axis=0), np.max(chunks, axis=0)]) if chunks else np.zeros(2 * quality.FILTERS)
+    return 1 / (1 + np.exp(-float(f @ p["out"] + p["shift"][0])))
+
+
+def test_scores_are_those_of_a_naive_network(prose):
+    net = quality.ByteNet(5)
+    texts = [b"", b"a", b"abcdef", prose(300, 1).encode(), prose(200, 2).encode()[:1024], prose(400, 3).encode()[:1025], bytes(range(256)) * 3]
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    assert net.score(np.frombuffer(b"".join(texts), np.uint8), at) == pytest.approx([naive_score(net, t) for t in texts], abs=1e-5)
+
+
 def test_scores_do_not_depend_on_neighbours(prose, monkeypatch):
     net = quality.ByteNet(2)
     texts = [b"", b"ab", prose(700, 1).encode(), prose(90, 2).encode(), b"x" * 511, b"y" * 512, b"z" * 513]

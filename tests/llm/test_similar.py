@@ -228,6 +228,54 @@ def test_substring_dedup_finds_edited_passages(table, prose):
     assert len(want & got) >= 0.97 * len(want)
 
 
+def local_score(a, b):
+    """Best local alignment of two number arrays, all cells: equal words +1, others and gaps -2; its score and its span in a."""
+    row, begin = np.zeros(len(b) + 1, int), np.zeros(len(b) + 1, int)
+    best, ramp = (0, 0, 0), 2 * np.arange(len(b) + 1)
+    for i, x in enumerate(a.tolist()):
+        diagonal = row[:-1] + np.where(b == x, 1, -2)
+        own, start = np.maximum(diagonal, row[1:] - 2), np.where(diagonal >= row[1:] - 2, begin[:-1], begin[1:])
+        own, start = np.append(0, np.maximum(own, 0)), np.append(i + 1, np.where(own > 0, start, i + 1))
+        # Gaps in a: the running best of score + 2 j.
+        run = own + ramp
+        lead = np.maximum.accumulate(run)
+        where = np.maximum.accumulate(np.where(run == lead, np.arange(len(run)), 0))
+        row, begin = lead - ramp, start[where]
+        j = int(row.argmax())
+        if row[j] > best[0]:
+            best = int(row[j]), int(begin[j]), i + 1
+    return best
+
+
+def test_substring_dedup_against_all_pairs(table, prose):
+    """Every pair of documents aligned in full: what shares 45 words or more lies within passages that were found."""
+    rng, rows = random.Random(9), []
+    passages = [prose(rng.randint(70, 140), 7000 + i).split() for i in range(10)]
+    for i in range(80):
+        words = prose(rng.randint(40, 140), 7100 + i).split()
+        for _ in range(rng.randint(1, 2)):
+            p = rng.choice(passages)
+            cut = p if rng.random() < 0.7 else p[: len(p) // 2] if rng.random() < 0.5 else p[len(p) // 2 :]
+            edited = [f"new{rng.randrange(999)}" if rng.random() < 0.05 else w for w in cut if rng.random() > 0.01]
+            at = rng.randint(0, len(words))
+            words[at:at] = edited
+        rows.append((i, " ".join(words) if rng.random() < 0.9 else " ".join(edited)))
+    number: dict = {}
+    docs = [np.array([number.setdefault(w, len(number)) for w in t.split()]) for _, t in rows]
+    found = [set() for _ in docs]
+    for r in substring_dedup.shared_passages(table(rows)).collect():
+        found[r["doc_id"]] |= set(range(r["first_word"], r["last_word"]))
+        found[r["partner_id"]] |= set(range(r["partner_first"], r["partner_last"]))
+    wanted = hit = 0
+    for i in range(len(docs)):
+        for j in range(len(docs)):
+            if i != j and (best := local_score(docs[i], docs[j]))[0] >= 45:
+                wanted += 1
+                hit += len(found[i] & set(range(best[1], best[2]))) >= 0.8 * (best[2] - best[1])
+    print("pairs", wanted, "recall", hit / wanted)
+    assert wanted > 200 and hit >= 0.95 * wanted
+
+
 def test_winnowing_keeps_a_seed_in_every_window():
     rng = np.random.default_rng(1)
     runs, at = rng.integers(0, 2**63, 500, np.uint64), np.array([0, 3, 3, 200, 500])
