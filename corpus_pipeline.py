@@ -12,15 +12,22 @@ from pyspark.sql import functions as F
 from quern.llm import decontaminate, language_id, mixing, near_dedup, sharding
 from quern.llm.common import materialize
 
-#: A document goes if its language's share among all is below this, or if it has no letter.
-LEAST_SCORE = 0.5
+#: A document goes if the tree of its language needs at least as many bits a byte as no model would.
+MOST_BITS = 8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; the trees are learned from the labelled rows of docs."""
-    found = language_id.predictor(language_id.learn(docs), spark)(F.col("text"))
-    rows = docs.withColumn("__found", found).where(f"__found.lang_pred <> 'und' and __found.score >= {LEAST_SCORE}")
-    return rows.drop("__found")
+    """Documents in a learned language; the trees are learned from the labelled rows of docs.
+
+    Texts without a letter (null and empty ones too) and texts that no tree codes in fewer than 8 bits a byte go: other
+    scripts, code, random characters. Rows that repeat are judged alike. Without a labelled row nothing is known, and
+    every text with a letter stays. An empty table stays empty.
+    """
+    trees = language_id.learn(docs)
+    if not trees.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = language_id.predictor(trees, spark)(F.col("text"))
+    return docs.withColumn("__found", found).where(f"__found.lang_pred <> 'und' and __found.bits_per_byte < {MOST_BITS}").drop("__found")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,17 +39,17 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark; null and empty texts stay, rows that repeat are judged alike."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, up to three times."""
+    """Documents as often as the mix takes them, up to three times; those without words go, a null source is one too."""
     return mixing.mixed(docs)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their shard (0 to 7) and slot."""
+    """Documents with their shard (0 to 7) and slot, whatever their text and id; rows that repeat get a slot each."""
     return sharding.sharded(docs, 8)
 
 
