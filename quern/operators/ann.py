@@ -55,7 +55,8 @@ class Ivf:
         centres = np.array(model.clusterCenters())
         if not folder:
             return Ivf(rows, centres, key, column, metric)
-        rows.repartition("list").write.mode("overwrite").partitionBy("list").parquet(f"{folder}/rows")
+        # A list may hold a large share of the rows: it is written by several tasks.
+        rows.repartition(F.col("list"), F.pmod(F.xxhash64(key), F.lit(16))).write.mode("overwrite").partitionBy("list").parquet(f"{folder}/rows")
         table = df.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "list int, centre array<double>")
         table.coalesce(1).write.mode("overwrite").parquet(f"{folder}/centres")
         return Ivf.load(df, key, column, metric, folder)
