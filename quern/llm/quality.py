@@ -7,7 +7,8 @@ empty text gets the score that the bias alone gives.
 
 The network is trained on the driver from a bounded sample of the labelled rows: MAX_SAMPLE documents of at most
 SAMPLE_BYTES bytes, chosen by a hash of the id, with a fixed seed. Labels other than 0 and 1 are left out; several
-labels of one document all count. Without labels every score is 0.5.
+labels of one document all count. Without labels every score is 0.5. Null ids are scored but never learned from, repeated
+rows get equal scores, extra columns do not matter, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -71,13 +72,13 @@ class ByteNet:
         while i < len(begin):
             j = max(i + 1, int(np.searchsorted(end, begin[i] + PIECE, "right")))
             a = np.concatenate([data[begin[i] : end[j - 1] + WIDTH - 1], np.zeros(WIDTH - 1, np.uint8)])[: end[j - 1] - begin[i] + WIDTH - 1]
-            # Windows that run past their document see zeros, not the next document.
-            w = self._windows(a)
-            last = np.flatnonzero(np.isin(end[i:j], at[1:]))
-            for k in last.tolist():
-                e, b = end[i + k] - begin[i], max(begin[i + k] - begin[i], end[i + k] - begin[i] - WIDTH + 1)
-                tail = np.concatenate([a[b:e], np.zeros(WIDTH - 1, np.uint8)])
-                w[b:e] = self._windows(tail)
+            # Windows that run past their document see zeros, not the next document: the last block's, and those of the
+            # block before if the last one is shorter than a window.
+            w, stop = self._windows(a), at[owner[i:j] + 1]
+            for k in np.flatnonzero(stop - end[i:j] < WIDTH - 1).tolist():
+                low = max(int(begin[i + k]), int(stop[k]) - WIDTH + 1)
+                tail = self._windows(np.concatenate([data[low : stop[k]], np.zeros(WIDTH - 1, np.uint8)]))
+                w[low - begin[i] : end[i + k] - begin[i]] = tail[: end[i + k] - low]
             tops[i:j] = np.maximum.reduceat(w, begin[i:j] - begin[i], axis=0)
             i = j
         if len(tops):
