@@ -4,7 +4,8 @@ Documents of up to HUGE characters are encoded whole, in batches. A longer one i
 character offsets. Two neighbouring chunks are spliced at a token boundary that both have and that is proven stable: no
 piece of the vocabulary holds the two characters around it side by side, so no merge can ever cross it and the two sides
 encode independently of what lies beyond. Without such a boundary the overlap is doubled, up to the whole document, so
-the count is exact in every case. Null counts as empty (0 bytes, 0 tokens). Repeated rows give repeated results.
+the count is exact in every case. Null counts as empty (0 bytes, 0 tokens). Repeated rows give repeated results;
+null ids are carried as null, extra columns do not matter, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
