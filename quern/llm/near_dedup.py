@@ -10,7 +10,9 @@ without words (or null) link with nothing. Documents link when 100 * intersectio
 3. Each component of bounded size is settled in one task with all its texts: exact similarities from one member out,
    others only where the triangle inequality of 1 - J and the likelihood of the registers leave a link possible.
 4. A component beyond that bound is compared with one pivot, in blocks over many tasks. What links to the pivot is one
-   component; the rest meets every block once more, in chunks, by the same rules. No candidate is dropped.
+   component. The rest is dealt into chunks, and the members into blocks, by size: linked sets differ in size by a quarter
+   at most, so a chunk meets the blocks of its own and the neighbouring classes of size, and those of the pivot's
+   component only if it is near enough to the pivot (1 - J of 0.5). No candidate is dropped.
 5. Components of the confirmed links give every document the smallest doc_id that it reaches.
 
 Rows that repeat an id are one document through that id, whatever their texts: each has its own set, and what one links
@@ -130,7 +132,17 @@ def _against_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         inter = _common(one, [sets[i] for i in others])
         far = 1 - inter / (len(one) + n - inter)
         k = len(others)
-        yield pa.RecordBatch.from_arrays([group.column("comp").combine_chunks().take(pa.array(others)), pa.array(np.full(k, ids[own][0])), pa.array(ids[others]), pa.array(_linked(inter, len(one), n)), pa.array(far)], names=["comp", "pivot", "id", "linked", "far"])
+        yield pa.RecordBatch.from_arrays([group.column("comp").combine_chunks().take(pa.array(others)), pa.array(np.full(k, ids[own][0])), pa.array(ids[others]), pa.array(_linked(inter, len(one), n)), pa.array(far), pa.array(size_class(n))], names=["comp", "pivot", "id", "linked", "far", "sc"])
+
+
+def size_class(n: np.ndarray) -> np.ndarray:
+    """Sets of which the smaller has LINK's share of the larger are in the same class or in neighbouring ones."""
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(1.01 * LINK[0] / LINK[1])).astype(np.int32)
+
+
+#: What a chunk and a block have in common: the chunk's class and number, and whether the block's members link to the
+#: pivot, their class and number.
+MEETING = ["comp", "lsc", "chunk", "tl", "tsc", "block"]
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +150,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from quern.llm import setsketch, textops
 
     least = LINK[1] / LINK[0]
-    for group in textops.by_key(batches, ["comp", "chunk", "block"]):
+    for group in textops.by_key(batches, MEETING):
         side = group.column("side").to_numpy(zero_copy_only=False)
         ids, far = group.column("id").to_numpy(), group.column("far").to_numpy()
         linked = group.column("linked").to_numpy(zero_copy_only=False).astype(bool)
@@ -203,21 +215,25 @@ def near_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     own = pivots.select("comp", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "id", F.lit(True).alias("is_pivot"))
     sides = members.select("comp", "block", "id", F.lit(False).alias("is_pivot")).unionByName(own).join(docs, "id")
     sides = sides.repartition(parts, "comp", "block").sortWithinPartitions("comp", "block").select("comp", "block", "id", "is_pivot", "text")
-    tried = materialize(sides.mapInArrow(_against_pivot, "comp long, pivot long, id long, linked boolean, far double"), "tried")
+    tried = materialize(sides.mapInArrow(_against_pivot, "comp long, pivot long, id long, linked boolean, far double, sc int"), "tried")
     found = found.unionByName(tried.where("linked").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
-    # What it leaves over, in chunks, meets every block; only that part of a component is compared again.
-    over = tried.where("not linked").groupBy("comp").agg(F.count(F.lit(1)).alias("left"))
-    over = materialize(over, "over")
-    if not over.limit(1).count():
+    if not tried.where("not linked").limit(1).count():
         return found
-    chunk, chunks = _dealt("left", "id", 5)
-    left = tried.where("not linked").join(over, "comp").join(big.select("comp", "size"), "comp").withColumn("chunk", chunk)
-    left = left.select("comp", "chunk", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(0).alias("side"), "id", "far", "linked")
-    right = join_split(tried.join(members.select("id", "block", "size"), "id"), over.join(big.select("comp", F.col("size").alias("n")), "comp"), ["comp"], "n")
-    right = right.select("comp", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), "block", F.lit(1).alias("side"), "id", "far", "linked")
+    # What it leaves over, in chunks, meets the blocks of near sizes; classes is one row for a component's class of size.
+    classes = materialize(tried.groupBy("comp", "linked", "sc").agg(F.count(F.lit(1)).alias("n")), "classes")
+    deal = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "id"), F.ceil(F.col(n) / BLOCK_DOCS).cast("int")).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / BLOCK_DOCS).cast("int") - 1))
+    placed = join_split(tried, classes, ["comp", "linked", "sc"], "n")
+    around = F.explode(F.array(*(F.col("sc") + d for d in (-1, 0, 1))))
+    blocks_of = classes.select("comp", F.col("linked").alias("tl"), F.col("sc").alias("tsc"), F.col("n").alias("tn"))
+    chunks_of = classes.where("not linked").select("comp", F.col("sc").alias("lsc"), F.col("n").alias("ln"))
+    left = placed.where("not linked").withColumn("chunk", deal(5, "n")).withColumn("tsc", around).join(blocks_of, ["comp", "tsc"]).where(f"not tl or far <= {2 * (1 - LINK[1] / LINK[0]) + 1e-9}")
+    left = left.select("comp", F.col("sc").alias("lsc"), "chunk", "tl", "tsc", each("tn").alias("block"), F.lit(0).alias("side"), "id", "far", "linked")
+    right = placed.withColumn("block", deal(3, "n")).withColumn("lsc", around).join(chunks_of, ["comp", "lsc"])
+    right = right.select("comp", "lsc", each("ln").alias("chunk"), F.col("linked").alias("tl"), F.col("sc").alias("tsc"), "block", F.lit(1).alias("side"), "id", "far", "linked")
     both = left.unionByName(right).join(reps.select("id", "regs"), "id").join(docs, "id")
-    both = both.repartition(parts, "comp", "chunk", "block").sortWithinPartitions("comp", "chunk", "block", "side")
-    return found.unionByName(materialize(both.select("comp", "chunk", "block", "side", "id", "far", "linked", "regs", "text").mapInArrow(_across, "a long, b long"), "across"))
+    both = both.repartition(parts, *MEETING).sortWithinPartitions(*MEETING, "side")
+    return found.unionByName(materialize(both.select(*MEETING, "side", "id", "far", "linked", "regs", "text").mapInArrow(_across, "a long, b long"), "across"))
 
 
 def grouped(docs: DataFrame) -> tuple[DataFrame, bool]:

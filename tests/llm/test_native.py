@@ -263,6 +263,14 @@ def test_sharding_is_the_plain_interleaving(spark, table, prose, monkeypatch):
     assert {(r["doc_id"], r["text_crc32"]): (r["shard"], r["slot"]) for r in sharding.shard(docs, 8).collect()} == want
 
 
+def test_shards_as_folders(spark, table, prose, tmp_path):
+    rows = [(i, prose(4, i), "en", f"s{i % 3}") for i in range(100)]
+    sharding.write_shards(table(rows), f"file://{tmp_path}/shards", 4)
+    back = spark.read.parquet(f"file://{tmp_path}/shards")
+    assert Counter((r["doc_id"], r["text"]) for r in back.collect()) == Counter((r[0], r[1]) for r in rows)
+    assert {r["shard"]: r["count"] for r in back.groupBy("shard").count().collect()} == {i: 25 for i in range(4)}
+
+
 def test_sharding_of_repeated_rows(table, monkeypatch):
     rows = [(1, "a")] * 3000 + [(None, "b")] * 1000 + [(i, f"t{i}") for i in range(2, 300)]
     for most in (10_000, 500):

@@ -113,6 +113,14 @@ def test_near_dedup_of_repeated_rows(table, prose):
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(7, one), (11, two + " end"), (17, " "), (None, prose(20, 44))] + [(None, "")] * 20 + [(None, None)] * 3, key=repr)
 
 
+def test_size_classes_keep_links_near():
+    n = np.arange(1, 4000)
+    c = near_dedup.size_class(n)
+    for i in n.tolist():
+        largest = i * 100 // 75  # the largest set that can link with one of i
+        assert c[min(largest, len(n)) - 1] - c[i - 1] <= 1
+
+
 def test_settle_is_exact():
     rng = np.random.default_rng(8)
     hub = rng.integers(0, 2**63, 400, np.uint64)
