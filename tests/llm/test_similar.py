@@ -305,21 +305,28 @@ def edit_distance(p, t):
 
 
 def test_decontamination(spark, table, prose, edges):
-    items = [(i, prose(34, 300 + i)) for i in range(6)] + [(6, "short item"), (7, None), (8, ""), (9, "Fourteen words make a medium item here")]
+    items = [(i, prose(34, 300 + i)) for i in range(6)] + [(6, "short item"), (7, None), (8, ""), (9, "Fourteen words make a medium item here"), (10, "Zwölf Wörter über ein längeres Maß, größer als je, für schöne Übungen 日本語で")]
     typo = lambda s, seed: "".join("#" if random.Random(seed * 1000 + i).random() < 0.03 else c for i, c in enumerate(s))
     docs = [(100 + i, f"{prose(60, 400 + i)}  {items[i][1].upper()}\n{prose(20, 450 + i)}") for i in range(3)]
     docs += [(200 + i, f"{prose(10, 470 + i)} {typo(items[i][1], i)} {prose(200, 480 + i)}") for i in range(6)]
-    docs += [(300, "Short  ITEM"), (301, "a short item in a text"), (302, f"xx {items[9][1]}")] + [(400 + i, prose(150, 490 + i)) for i in range(8)]
+    docs += [(300, "Short  ITEM"), (301, "a short item in a text"), (302, f"xx {items[9][1]}"), (303, "a short items, shorts item")] + [(400 + i, prose(150, 490 + i)) for i in range(8)]
+    docs += [(500, f"日本 {items[10][1]} und {prose(30, 499)}"), (501, items[10][1].replace("日本語で", "")), (502, items[10][1].replace("ö", "ŏ").replace("ü", "ŭ").replace("ß", "ş").replace("ä", "ă"))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.matches(table(docs + edges), bench).collect()}
-    texts = {i: decontaminate.normal(t) for i, t in docs}
+    texts = {i: decontaminate.exact(t) for i, t in docs}
     index = decontaminate.WindowIndex([x for x in items if x[1]])
-    want = {(300, 6)}
-    for k, (item, _, w) in enumerate(index.windows):
-        want |= {(d, item) for d, t in texts.items() if edit_distance(w, t) <= index.budget[k]}
-    assert set(got) == want and {(100, 0), (101, 1), (102, 2), (200, 0), (302, 9)} <= want
+    exact = {x[0]: decontaminate.exact(x[1] or "") for x in items}
+    want = {(300, 6), (301, 6)}
+    for w in range(len(index.own)):
+        item = index.items[index.own[w]][0]
+        piece = exact[item][index.offset[w] : index.offset[w] + index.size[w]]
+        want |= {(d, item) for d, t in texts.items() if edit_distance(piece, t) <= index.budget[w]}
+    assert set(got) == want and {(100, 0), (101, 1), (102, 2), (200, 0), (302, 9), (500, 10)} <= want and (502, 10) not in want
+    r = got[300, 6], got[301, 6]
+    assert [(x["first_char"], x["last_char"], x["edits"]) for x in r] == [(0, 10, 0), (2, 12, 0)]
     kept = {r["doc_id"] for r in decontaminate.clean(table(docs + edges), bench).collect()}
     assert kept == {r[0] for r in docs + edges} - {d for d, _ in want}
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(table(docs), bench, short=60).collect()} >= {(302, 9)}
     assert decontaminate.matches(table([]), bench).count() == 0 and decontaminate.matches(table(docs), bench.limit(0)).count() == 0
 
 
