@@ -237,3 +237,25 @@ def test_explained_variance(spark):
     df = spark.createDataFrame([([float(i), 2.0 * i, 0.01 * (-1) ** i],) for i in range(20)], "v array<double>")
     first, second = media.explained_variance(df, "v", 2)
     assert first > 0.99 and first + second == pytest.approx(1, abs=1e-3)
+
+
+@pytest.mark.parametrize("name", ["scan_pk_order", "order_by"])
+def test_places_where_ranges_are_joined_by_size(spark, tmp_path, name):
+    """Adaptive plans join small ranges by their bytes, which depend on the columns that a branch reads."""
+    rows = spark.range(0, 40_000, 1, 6).select(F.pmod(F.col("id") * 7919, F.lit(40_000)).alias("k"))
+    rows.select(F.col("k").alias("o_orderkey"), F.md5(F.col("k").cast("string")).alias("o_totalprice")).write.parquet(f"{tmp_path}/orders.parquet")
+    rows.select(F.col("k").alias("c_custkey"), (F.col("k") * 31 % 977).cast("double").alias("c_acctbal"), F.lit("n").alias("c_name"), F.lit(1).alias("c_nationkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.read.parquet(f"{SF}/documents.parquet").limit(1).write.parquet(f"{tmp_path}/documents.parquet")
+    own = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "60k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        got = sorted(tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    with duckdb.connect() as c:
+        for t in ("orders", "customer"):
+            c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+        assert got == sorted(c.execute(queries.ORACLES[name]).fetchall())
