@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,8 +38,10 @@ SHINGLE = 5
 LINK = (100, 75)
 #: A component of more documents or bytes is dealt over several tasks.
 TASK_DOCS, TASK_BYTES = 2_000, 32 << 20
-#: Documents of a large component that one task holds at a time, on either side.
-BLOCK_DOCS = 1_000
+#: Documents and bytes of a large component that one task holds at a time, on either side.
+BLOCK_DOCS, BLOCK_BYTES = 1_000, 8 << 20
+#: Hashes that are looked up at a time.
+LOOKUP = 1 << 18
 
 SIGNATURE = "id long, doc_id long, n long, n_bytes long, n_shingles long, f1 long, f2 long, bands array<long>, regs binary"
 
@@ -69,10 +72,19 @@ def _linked(inter: np.ndarray, n_a, n_b) -> np.ndarray:
 
 
 def _common(one: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of one sorted set with many."""
-    x, n = np.concatenate(sets), np.array([len(s) for s in sets])
-    hit = one[np.minimum(np.searchsorted(one, x), len(one) - 1)] == x
-    return np.add.reduceat(hit.astype(np.int64), np.cumsum(n) - n)
+    """Sizes of the intersections of one sorted set with many, which are looked up a bounded number of hashes at a time."""
+    n = np.array([len(s) for s in sets])
+    out, ends, i = np.zeros(len(n), np.int64), np.cumsum(n), 0
+    held = lambda x: one[np.minimum(np.searchsorted(one, x), len(one) - 1)] == x
+    while i < len(n):
+        if n[i] > LOOKUP:
+            out[i] = sum(np.count_nonzero(held(sets[i][k : k + LOOKUP])) for k in range(0, len(sets[i]), LOOKUP))
+            i += 1
+            continue
+        j = int(np.searchsorted(ends, ends[i] - n[i] + LOOKUP, "right"))
+        out[i:j] = np.add.reduceat(held(np.concatenate(sets[i:j])), np.cumsum(n[i:j]) - n[i:j], dtype=np.int64)
+        i = j
+    return out
 
 
 def settle(sets: list[np.ndarray], regs: np.ndarray) -> list[tuple[int, int]]:
@@ -111,7 +123,7 @@ def _settle_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     for group in textops.by_key(batches, ["comp"]):
         ids = group.column("id").to_numpy()
-        sets = list(textops.shingles(*textops.words(*textops.buffers(group.column("text"))), SHINGLE))
+        sets = textops.shingle_sets(group.column("text"), SHINGLE)
         regs = np.frombuffer(b"".join(group.column("regs").to_pylist()), np.uint16).reshape(-1, setsketch.REGISTERS)
         links = settle(sets, regs)
         if links:
@@ -124,7 +136,7 @@ def _against_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for group in textops.by_key(batches, ["comp", "block"]):
         own = group.column("is_pivot").to_numpy(zero_copy_only=False).astype(bool)
         ids = group.column("id").to_numpy()
-        sets = list(textops.shingles(*textops.words(*textops.buffers(group.column("text"))), SHINGLE))
+        sets = textops.shingle_sets(group.column("text"), SHINGLE)
         if not own.any() or own.all():
             continue
         one, others = sets[int(np.flatnonzero(own)[0])], np.flatnonzero(~own)
@@ -132,7 +144,7 @@ def _against_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         inter = _common(one, [sets[i] for i in others])
         far = 1 - inter / (len(one) + n - inter)
         k = len(others)
-        yield pa.RecordBatch.from_arrays([group.column("comp").combine_chunks().take(pa.array(others)), pa.array(np.full(k, ids[own][0])), pa.array(ids[others]), pa.array(_linked(inter, len(one), n)), pa.array(far), pa.array(size_class(n))], names=["comp", "pivot", "id", "linked", "far", "sc"])
+        yield pa.RecordBatch.from_arrays([group.column("comp").combine_chunks().take(pa.array(others)), pa.array(np.full(k, ids[own][0])), pa.array(ids[others]), pa.array(_linked(inter, len(one), n)), pa.array(far), pa.array(size_class(n)), pc.binary_length(group.column("text").combine_chunks()).cast(pa.int64()).take(pa.array(others))], names=["comp", "pivot", "id", "linked", "far", "sc", "n_bytes"])
 
 
 def size_class(n: np.ndarray) -> np.ndarray:
@@ -154,7 +166,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side = group.column("side").to_numpy(zero_copy_only=False)
         ids, far = group.column("id").to_numpy(), group.column("far").to_numpy()
         linked = group.column("linked").to_numpy(zero_copy_only=False).astype(bool)
-        sets = list(textops.shingles(*textops.words(*textops.buffers(group.column("text"))), SHINGLE))
+        sets = textops.shingle_sets(group.column("text"), SHINGLE)
         regs = np.frombuffer(b"".join(group.column("regs").to_pylist()), np.uint16).reshape(-1, setsketch.REGISTERS)
         n = np.array([len(x) for x in sets])
         # Members that link to the pivot are one component, the others start alone.
@@ -187,10 +199,14 @@ def _candidates(reps: DataFrame) -> DataFrame:
     return join_split(rows, groups, ["key"], "n").where("id <> lead").select("id", "lead")
 
 
-def _dealt(size: str, key: str, seed: int):
-    """A row's block among the blocks of its component, and how many those are."""
-    blocks = F.ceil(F.col(size) / BLOCK_DOCS).cast("int")
-    return F.pmod(F.xxhash64(F.lit(seed), key), blocks).cast("int"), blocks
+def _blocks(n: str, n_bytes: str):
+    """Blocks of so many documents and bytes."""
+    return F.greatest(F.ceil(F.col(n) / BLOCK_DOCS), F.ceil(F.col(n_bytes) / BLOCK_BYTES)).cast("int")
+
+
+def _dealt(blocks, seed: int):
+    """A row's block."""
+    return F.pmod(F.xxhash64(F.lit(seed), "id"), blocks).cast("int")
 
 
 def near_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -200,7 +216,7 @@ def near_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     sized = comps.join(reps.select("id", "n_bytes"), "id").groupBy("comp").agg(F.count(F.lit(1)).alias("size"), F.sum("n_bytes").alias("bytes"))
     big = materialize(sized.where(((F.col("size") > TASK_DOCS) | (F.col("bytes") > TASK_BYTES)) & (F.col("size") > 2)), "big")
     any_big = big.limit(1).count() > 0
-    large = materialize(join_split(comps, big.select("comp", "size"), ["comp"], "size"), "large") if any_big else None
+    large = materialize(join_split(comps, big, ["comp"], "size"), "large") if any_big else None
     rows = comps.join(large.select("id"), "id", "left_anti") if any_big else comps
     nodes = rows.join(reps.select("id", "regs"), "id").join(docs, "id")
     nodes = nodes.repartition(parts, "comp").sortWithinPartitions("comp", "id").select("comp", "id", "regs", "text")
@@ -208,28 +224,28 @@ def near_links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     if not any_big:
         return found
     # One pivot for each large component, against blocks of its members.
-    block, blocks = _dealt("size", "id", 3)
-    pivots = large.groupBy("comp").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("p"), F.first("size").alias("size")).select("comp", F.col("p.id").alias("id"), "size")
+    blocks = _blocks("size", "bytes")
+    pivots = large.groupBy("comp").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("p"), F.first("size").alias("size"), F.first("bytes").alias("bytes")).select("comp", F.col("p.id").alias("id"), "size", "bytes")
     pivots = materialize(pivots, "pivots")
-    members = materialize(large.join(pivots.select("id"), "id", "left_anti").withColumn("block", block), "members")
+    members = materialize(large.join(pivots.select("id"), "id", "left_anti").withColumn("block", _dealt(blocks, 3)), "members")
     own = pivots.select("comp", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "id", F.lit(True).alias("is_pivot"))
     sides = members.select("comp", "block", "id", F.lit(False).alias("is_pivot")).unionByName(own).join(docs, "id")
     sides = sides.repartition(parts, "comp", "block").sortWithinPartitions("comp", "block").select("comp", "block", "id", "is_pivot", "text")
-    tried = materialize(sides.mapInArrow(_against_pivot, "comp long, pivot long, id long, linked boolean, far double, sc int"), "tried")
+    tried = materialize(sides.mapInArrow(_against_pivot, "comp long, pivot long, id long, linked boolean, far double, sc int, n_bytes long"), "tried")
     found = found.unionByName(tried.where("linked").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
     if not tried.where("not linked").limit(1).count():
         return found
     # What it leaves over, in chunks, meets the blocks of near sizes; classes is one row for a component's class of size.
-    classes = materialize(tried.groupBy("comp", "linked", "sc").agg(F.count(F.lit(1)).alias("n")), "classes")
-    deal = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "id"), F.ceil(F.col(n) / BLOCK_DOCS).cast("int")).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / BLOCK_DOCS).cast("int") - 1))
+    classes = materialize(tried.groupBy("comp", "linked", "sc").agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("b")), "classes")
+    classes = classes.withColumn("blocks", _blocks("n", "b")).drop("b")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     placed = join_split(tried, classes, ["comp", "linked", "sc"], "n")
     around = F.explode(F.array(*(F.col("sc") + d for d in (-1, 0, 1))))
-    blocks_of = classes.select("comp", F.col("linked").alias("tl"), F.col("sc").alias("tsc"), F.col("n").alias("tn"))
-    chunks_of = classes.where("not linked").select("comp", F.col("sc").alias("lsc"), F.col("n").alias("ln"))
-    left = placed.where("not linked").withColumn("chunk", deal(5, "n")).withColumn("tsc", around).join(blocks_of, ["comp", "tsc"]).where(f"not tl or far <= {2 * (1 - LINK[1] / LINK[0]) + 1e-9}")
+    blocks_of = classes.select("comp", F.col("linked").alias("tl"), F.col("sc").alias("tsc"), F.col("blocks").alias("tn"))
+    chunks_of = classes.where("not linked").select("comp", F.col("sc").alias("lsc"), F.col("blocks").alias("ln"))
+    left = placed.where("not linked").withColumn("chunk", _dealt(F.col("blocks"), 5)).withColumn("tsc", around).join(blocks_of, ["comp", "tsc"]).where(f"not tl or far <= {2 * (1 - LINK[1] / LINK[0]) + 1e-9}")
     left = left.select("comp", F.col("sc").alias("lsc"), "chunk", "tl", "tsc", each("tn").alias("block"), F.lit(0).alias("side"), "id", "far", "linked")
-    right = placed.withColumn("block", deal(3, "n")).withColumn("lsc", around).join(chunks_of, ["comp", "lsc"])
+    right = placed.withColumn("block", _dealt(F.col("blocks"), 3)).withColumn("lsc", around).join(chunks_of, ["comp", "lsc"])
     right = right.select("comp", "lsc", each("ln").alias("chunk"), F.col("linked").alias("tl"), F.col("sc").alias("tsc"), "block", F.lit(1).alias("side"), "id", "far", "linked")
     both = left.unionByName(right).join(reps.select("id", "regs"), "id").join(docs, "id")
     both = both.repartition(parts, *MEETING).sortWithinPartitions(*MEETING, "side")

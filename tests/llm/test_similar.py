@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -87,6 +88,46 @@ def test_near_dedup(table, near_rows, most, monkeypatch):
     assert got == brute_components(near_rows)
 
 
+@pytest.mark.parametrize("docs,size", [(1000, 3000), (4, 10**9)])
+def test_near_dedup_in_blocks_by_bytes(table, near_rows, docs, size, monkeypatch):
+    """Blocks of few documents or few bytes give the same components."""
+    monkeypatch.setattr(near_dedup, "TASK_DOCS", 5)
+    monkeypatch.setattr(near_dedup, "BLOCK_DOCS", docs)
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", size)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_dedup(table(near_rows)).collect()}
+    assert got == brute_components(near_rows)
+
+
+def test_settling_takes_few_times_its_texts():
+    """One-letter words have the most hashes a byte: 4 bytes of them for each byte of text."""
+    rng, k = np.random.default_rng(3), 12
+    base = rng.integers(97, 123, 300_000).astype(np.uint8)
+    texts = []
+    for _ in range(k):
+        w = np.full(2 * len(base), 32, np.uint8)
+        w[::2] = base
+        w[2 * rng.integers(0, len(base), 500)] = 97
+        texts.append(w.tobytes().decode())
+    regs = [setsketch.sketch(x, np.array([0]))[0].tobytes() for t in texts for x in textops.shingles(*textops.words(*textops.buffers(pa.array([t]))), 5)]
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * k), pa.array(range(k)), pa.array(regs, pa.binary()), pa.array(texts)], names=["comp", "id", "regs", "text"])
+    list(near_dedup._settle_groups(iter([batch])))  # tables of powers are made once
+    tracemalloc.start()
+    links = sum(b.num_rows for b in near_dedup._settle_groups(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert links == k - 1
+    assert peak < 8 * sum(map(len, texts)) + 40_000_000
+
+
+def test_common_counts_sets_of_any_size(monkeypatch):
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 900, n).astype(np.uint64)) for n in (1, 5, 400, 3, 90, 2000, 7)]
+    want = [len(set(sets[4].tolist()) & set(x.tolist())) for x in sets]
+    for most in (1, 8, 100, 10**6):
+        monkeypatch.setattr(near_dedup, "LOOKUP", most)
+        assert near_dedup._common(sets[4], sets).tolist() == want
+
+
 def test_near_dedup_edges(table, edges):
     got = near_dedup.near_dedup(table(edges)).collect()
     assert len(got) == len(edges)
