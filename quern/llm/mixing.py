@@ -8,8 +8,7 @@ a shared text repeats. What a cell gives becomes whole passes over its rows and
 rows: a row that does not fit is skipped, and the pass goes on until no row behind it fits.
 
 Texts of one source have no choice and never reach the driver: sizes, weights, targets and their quotas are tables. The
-driver gets the totals of overlapping patterns, the MAX_PATTERNS with the most words; beyond them, a pattern's cells count
-as their sources' own words (targets are met alike, only the repeats of those texts are not balanced between sources).
+driver gets the totals of all overlapping patterns, so its memory follows their number (about 2 KB each), not the rows'.
 
 Null text or no words: size 0, nothing taken. A null source is a source of its own, last in order. Rows that repeat an
 id, or id and text, are separate rows, told apart by their place in their file, so any number of them can be taken. Null
@@ -18,6 +17,7 @@ ids are ids like any other. Extra columns are kept as they are. An empty table g
 
 from __future__ import annotations
 
+from array import array
 from collections import deque
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -25,10 +25,6 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import WORD, below, bits_for, hash_bucket, join_split, materialize, unsigned_order
 
-#: Overlapping patterns that the flow weighs against each other; see above for the rest.
-MAX_PATTERNS = 2_000
-#: Their cells, all together.
-MAX_CELLS = 20_000
 MAX_REPEATS = 3
 RANGE_ROWS = 5_000
 
@@ -60,46 +56,44 @@ def min_cost_flow(capacity: dict, quota: dict, cells: dict, repeats: int = MAX_R
     cheapest up, and at each the flow is made as large as it can be, which never takes back what a cheaper one gave.
     """
     start, end = 0, 1
-    number: dict = {}
-    to: list[int] = []
-    room: list[int] = []
-    arcs: list[list[int]] = [[], []]
+    to, room = array("q"), array("q")
+    arcs = [array("q"), array("q")]
 
-    def node(name) -> int:
-        if name not in number:
-            number[name] = len(arcs)
-            arcs.append([])
-        return number[name]
+    def node() -> int:
+        arcs.append(array("q"))
+        return len(arcs) - 1
 
     def arc(x: int, y: int, cap: int) -> int:
         arcs[x].append(len(to)), to.append(y), room.append(cap)
         arcs[y].append(len(to)), to.append(x), room.append(0)
         return len(to) - 2
 
+    source = {s: node() for s in quota}
     first, inner, left = {}, {}, {}
     for p, own in cells.items():
-        first[p] = arc(start, node(("p", p)), 0)
+        first[p] = arc(start, at := node(), 0)
         left[p] = repeats * sum(own.values()) if capacity[p] > 0 else 0  # what its cells can take in all passes
         for cell, n in own.items():
-            inner[p, cell] = arc(node(("p", p)), node(("c", p, cell)), repeats * n)
+            inner[p, cell] = arc(at, inside := node(), repeats * n)
             for s in cell:
-                arc(node(("c", p, cell)), node(("s", s)), repeats * n)
+                arc(inside, source[s], repeats * n)
     for s, q in quota.items():
-        arc(node(("s", s)), end, q)
+        arc(source[s], end, q)
 
-    def fill() -> None:
-        """The largest flow that the open arcs allow, by blocking flows in layers."""
+    def fill() -> dict[int, int]:
+        """The largest flow that the open arcs allow, by blocking flows in layers; returns what the start still reaches."""
         while True:
             layer, queue = {start: 0}, deque([start])
-            while queue:
+            while queue and end not in layer:
                 x = queue.popleft()
                 for e in arcs[x]:
                     if room[e] > 0 and to[e] not in layer:
                         layer[to[e]] = layer[x] + 1
                         queue.append(to[e])
             if end not in layer:
-                return
-            place, path = [0] * len(arcs), []
+                return layer
+            place: dict[int, int] = {}
+            path: list[int] = []
             x = start
             while True:
                 if x == end:
@@ -110,25 +104,39 @@ def min_cost_flow(capacity: dict, quota: dict, cells: dict, repeats: int = MAX_R
                     k = next(i for i, e in enumerate(path) if room[e] == 0)
                     x, path = to[path[k] ^ 1], path[:k]
                     continue
-                while place[x] < len(arcs[x]):
-                    e = arcs[x][place[x]]
-                    if room[e] > 0 and layer.get(to[e]) == layer[x] + 1:
-                        path.append(e)
-                        x = to[e]
-                        break
-                    place[x] += 1
+                own, i = arcs[x], place.get(x, 0)
+                while i < len(own) and not (room[own[i]] > 0 and layer.get(to[own[i]]) == layer[x] + 1):
+                    i += 1
+                place[x] = i
+                if i < len(own):
+                    path.append(own[i])
+                    x = to[own[i]]
+                elif x == start:
+                    break
                 else:
-                    if x == start:
-                        break
                     x = to[path.pop() ^ 1]
                     place[x] += 1
 
-    while any(left.values()):  # one pass more of every pattern that has cells to fill
-        for p in left:
-            more = min(capacity[p], left[p])
-            room[first[p]] += more
-            left[p] -= more
-        fill()
+    # One pass more of every pattern that has cells to fill. What the start still reaches after a pass never reaches the
+    # end again (later paths stay outside it), so those patterns are done. After some passes (texts of many copies), as
+    # many are opened at once as all fit: the same as one by one.
+    more, passes, step = [p for p in left if left[p] > 0], 0, 1
+    while more:
+        held = (room[:], {p: left[p] for p in more}) if step > 1 else None
+        for p in more:
+            n = min(step * capacity[p], left[p])
+            room[first[p]] += n
+            left[p] -= n
+        arcs[start] = array("q", [first[p] for p in more])
+        reached = fill()
+        if held and len(reached) > 1:
+            room[:] = held[0]
+            left |= held[1]
+            step = 1
+            continue
+        more = [p for p in more if left[p] > 0 and to[first[p]] not in reached]
+        passes += 1
+        step = 2 * step if passes > 3 * repeats else 1
     given = {k: room[e ^ 1] for k, e in inner.items()}
     return {k: v for k, v in given.items() if v > 0}
 
@@ -217,26 +225,22 @@ def _overlapping(rows: DataFrame, named: DataFrame) -> tuple[DataFrame | None, l
         return None, [], []
     own = join_split(some, shared, ["text"], "n").groupBy("text", "r").agg(F.first("sources").alias("sources"), F.sum("size").alias("words"), F.max("size").alias("size"))
     own = materialize(own, "cells")
-    member = own.groupBy("text").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("member"), F.max("size").alias("size"), F.count(F.lit(1)).alias("n"))
-    member = materialize(member.select("text", "size", F.size("member").alias("k"), F.xxhash64(F.size("member"), "member").alias("pattern"), "n"), "members")
-    totals = member.groupBy("pattern").agg(F.sum("size").alias("size"), F.max("k").alias("k")).orderBy(F.desc("size"), "pattern").limit(MAX_PATTERNS).collect()
-    capacity: dict[int, int] = {}
-    held = 0
-    for r in totals:
-        held += r["k"]
-        if held <= MAX_CELLS:
-            capacity[r["pattern"]] = int(r["size"])
-    known = F.broadcast(spark.createDataFrame([(p,) for p in capacity], "pattern long"))
-    texts = materialize(own.join(member.join(known, "pattern").select("text", "pattern"), "text").select("text", "r", "sources", "words", "pattern"), "texts")
+    member = own.groupBy("text").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("member"), F.max("size").alias("size"))
+    member = materialize(member.select("text", "size", F.xxhash64(F.size("member"), "member").alias("pattern")), "members")
+    capacity = {r["pattern"]: int(r["size"]) for r in member.groupBy("pattern").agg(F.sum("size").alias("size")).orderBy(F.desc("size"), "pattern").collect()}
+    texts = materialize(own.join(member.select("text", "pattern"), "text").select("text", "r", "sources", "words", "pattern"), "texts")
     inside: dict = {p: {} for p in capacity}
     hashes = {}
-    for r in texts.groupBy("pattern", "r").agg(F.first("sources").alias("sources"), F.sum("words").alias("words")).collect():
+    for r in texts.groupBy("pattern", "r").agg(F.first("sources").alias("sources"), F.sum("words").alias("words")).orderBy("pattern", "r").collect():
         cell = tuple(r["sources"])
         inside[r["pattern"]][cell], hashes[cell] = int(r["words"]), r["r"]
     touched = spark.createDataFrame([(s,) for s in {s for c in inside.values() for cell in c for s in cell}], "__s string")
-    of = {r["source"]: r for r in named.join(F.broadcast(touched), F.col("source").eqNullSafe(F.col("__s"))).collect()}
+    of = {r["source"]: r for r in named.join(F.broadcast(touched), F.col("source").eqNullSafe(F.col("__s"))).orderBy("cell").collect()}
     # What such a source has beside these patterns is a pattern of its own.
-    left = {s: int(r["own"]) - sum(n for c in inside.values() for cell, n in c.items() if cell[0] == s) for s, r in of.items()}
+    left = {s: int(r["own"]) for s, r in of.items()}
+    for c in inside.values():
+        for cell, n in c.items():
+            left[cell[0]] -= n
     flow = min_cost_flow(capacity | {("own", s): n for s, n in left.items()}, {s: int(r["quota"]) for s, r in of.items()}, inside | {("own", s): {(s,): n} for s, n in left.items()})
     extra, pairs = [], []
     for p, c in inside.items():
@@ -244,8 +248,8 @@ def _overlapping(rows: DataFrame, named: DataFrame) -> tuple[DataFrame | None, l
             r = of[cell[0]]
             pairs.append((p, hashes[cell], -len(pairs) - 1))
             extra.append((-len(pairs), cell[0], int(r["size"]), float(r["target"]), n, flow.get((p, cell), 0)))
-    numbers = F.broadcast(spark.createDataFrame(pairs, "pattern long, r long, cell long"))
-    texts = materialize(texts.join(numbers, ["pattern", "r"]).select("text", "r", "cell"), "texts")
+    numbers = spark.createDataFrame(pairs, "pattern long, r long, cell long")
+    texts = materialize(texts.join(F.broadcast(numbers) if len(pairs) <= MOST_BROADCAST else materialize(numbers, "numbers"), ["pattern", "r"]).select("text", "r", "cell"), "texts")
     return texts, [(int(of[s]["cell"]), n, flow.get((("own", s), (s,)), 0)) for s, n in left.items()], extra
 
 

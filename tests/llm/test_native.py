@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -280,3 +281,23 @@ def test_sharding_of_repeated_rows(table, monkeypatch):
         assert len({(r["shard"], r["slot"]) for r in out}) == len(rows)
         counts = Counter(r["shard"] for r in out)
         assert max(counts.values()) - min(counts.values()) <= 1
+
+
+def test_mixing_weighs_every_pattern(table):
+    """2,100 groups of sources; in each, b has one text alone with a, which has another: b takes it twice and a not at all."""
+    n, rows = 2100, []
+    for i in range(n):
+        alone, shared, third = (" ".join([f"{k}{i}"] * size) for k, size in (("u", 10), ("x", 10), ("v", 30)))
+        rows += [(4 * i, alone, "en", f"{i:05d}a"), (4 * i + 1, shared, "en", f"{i:05d}a"), (4 * i + 2, shared, "en", f"{i:05d}b"), (4 * i + 3, third, "en", f"{i:05d}c")]
+    taken = {r["doc_id"]: (r["target"], r["taken"]) for r in mixing.mix(table(rows)).collect()}
+    assert len(taken) == 4 * n
+    assert Counter((k % 4, v) for k, v in taken.items()) == {(0, (10.0, 10)): n, (1, (10.0, 0)): n, (2, (20.0, 20)): n, (3, (30.0, 30)): n}
+
+
+def test_flow_with_many_copies_beside_many_patterns():
+    """A text of 20,000 copies needs as many passes; those of other patterns are over by then."""
+    cells = {i: {("a",): 10, ("b",): 10} for i in range(3000)} | {"hot": {("a",): 200_000, ("b",): 10}}
+    began = time.time()
+    flow = mixing.min_cost_flow({i: 10 for i in cells}, {"a": 600_000, "b": 90_000}, cells)
+    assert sum(v for (p, c), v in flow.items() if c == ("a",)) == 600_000 and sum(v for (p, c), v in flow.items() if c == ("b",)) == 90_000
+    assert time.time() - began < 60
